@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,9 @@ from pyspark.sql import types as T
 
 from riskflow.contract import FOREST_SETTINGS, SEED
 from riskflow.functions.scalar import seeded_hash
+from riskflow.operators.folds import fold_split
 from riskflow.operators.perturb import class_weights
+from riskflow.workspace import side_by_side
 
 def build_pipeline(
     features: Sequence[str], label: str, estimator: Estimator, standardize: bool = True
@@ -110,8 +113,12 @@ def train_forest(
     df: DataFrame, features: Sequence[str], label: str, standardize: bool = True, **params
 ) -> PipelineModel:
     """Random forest with the default settings of the data model unless overridden."""
-    forest = RandomForestClassifier(**{**FOREST_SETTINGS, **params})
-    return build_pipeline(features, label, forest, standardize).fit(df)
+    return build_pipeline(features, label, forest_estimator(**params), standardize).fit(df)
+
+
+def forest_estimator(**params) -> RandomForestClassifier:
+    """Forest that keeps the node of each row between levels; deep trees grow faster so."""
+    return RandomForestClassifier(**{**FOREST_SETTINGS, "cacheNodeIds": True, **params})
 
 
 def stage_of(model: PipelineModel, kind: type):
@@ -192,6 +199,7 @@ def train_rbf_svm(
     calibration_folds: int = 5,
     id: str = "id",
     max_iter: int = 100,
+    tol: float = 1e-3,
 ) -> PipelineModel:
     """Soft-margin classifier with an approximated RBF kernel and calibrated probabilities.
 
@@ -206,7 +214,8 @@ def train_rbf_svm(
     def margins(rows: DataFrame) -> Pipeline:
         svc = LinearSVC(
             featuresCol="fourier", labelCol=label, rawPredictionCol="margin",
-            regParam=1.0 / (C * rows.count()), maxIter=max_iter, standardization=False,
+            regParam=1.0 / (C * rows.count()), maxIter=max_iter, tol=tol,
+            standardization=False,
         )
         source = "features" if standardize else "features_raw"
         pipeline = build_pipeline(features, label, svc, standardize)
@@ -222,12 +231,13 @@ def train_rbf_svm(
     if calibration_folds:
         part = F.pmod(seeded_hash(f"{seed}:calibration", id), F.lit(calibration_folds))
         split = df.withColumn("_part", part)
-        held = None
-        for i in range(calibration_folds):
-            rest = split.filter(F.col("_part") != i)
-            scored = margins(rest).fit(rest).transform(split.filter(F.col("_part") == i))
-            scored = scored.select(label, "margin_vector")
-            held = scored if held is None else held.unionByName(scored)
+
+        def held_out(i: int) -> DataFrame:
+            rest, part_i = fold_split(split, i, "_part")
+            return margins(rest).fit(rest).transform(part_i).select(label, "margin_vector")
+
+        parts = side_by_side(df.sparkSession, held_out, range(calibration_folds), calibration_folds)
+        held = reduce(DataFrame.unionByName, parts)
     else:
         held = fitted.transform(df).select(label, "margin_vector")
     return PipelineModel([*fitted.stages, platt_calibrate(held, "margin_vector", label)])

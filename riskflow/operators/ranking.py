@@ -25,6 +25,7 @@ from riskflow.workspace import collect_bounded
 _MAX_BUCKETS = 16384
 _RADIX_BITS = 12
 _FETCH_ROWS = 512
+_SKETCH_ACCURACY = 10000
 _MAX_GROUPS = 256
 
 
@@ -126,7 +127,7 @@ def running_sum(
 
     ``order_by`` is compared as double. ``values`` maps an output column to the summed
     expression; ``totals`` maps further output columns to entries of ``values`` and
-    adds their sum over the whole group. ``by`` columns must not be null.
+    adds their sum over the whole group. Null is a group like any other.
     """
     ties = [tie_breaker] if isinstance(tie_breaker, str) else list(tie_breaker or [])
     groups = [by] if isinstance(by, str) else list(by or [])
@@ -139,17 +140,16 @@ def running_sum(
     inputs = {f"_v{i}": expr for i, expr in enumerate(values.values())}
     names = dict(zip(values, inputs))
     keyed = keyed.withColumns(inputs)
-    place = [*groups, "_bucket"]
-    # A null group would vanish in the join below, so it stops the job instead.
-    keyed = keyed.withColumns(
-        {g: F.coalesce(F.col(g), F.raise_error(F.lit(f"null in {g}"))) for g in groups}
-    )
-
-    sizes = keyed.groupBy(*place).agg(*[F.sum(v).alias(f"_s{v}") for v in inputs])
-    scope = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    before = scope.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One struct key: it is never null itself, so rows of a null group keep their place and
+    # no null checks are pushed below the aggregates of the input.
+    keyed = keyed.withColumn("_place", F.struct(*groups, "_bucket")).drop("_bucket")
+
+    sizes = keyed.groupBy("_place").agg(*[F.sum(v).alias(f"_s{v}") for v in inputs])
+    group = F.struct(*[F.col("_place")[g] for g in groups]) if groups else F.lit(0)
+    scope = Window.partitionBy(group)
+    before = scope.orderBy("_place._bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *place,
+        "_place",
         *[
             F.coalesce(F.sum(f"_s{v}").over(before), F.lit(0)).alias(f"_o{v}")
             for v in inputs
@@ -158,13 +158,14 @@ def running_sum(
     )
 
     inside = (
-        Window.partitionBy(*place)
+        Window.partitionBy("_place")
         .orderBy("_key", *ties)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = keyed.withColumns({f"_c{v}": F.sum(v).over(inside) for v in inputs})
-    # The join key is the window key, so the rows are not shuffled a second time.
-    joined = summed.join(offsets, place)
+    # The join key is the window key, so the rows are not shuffled a second time. Every
+    # row has its offset, so a left join loses and adds nothing.
+    joined = summed.join(offsets, "_place", "left")
     return joined.select(
         *df.columns,
         *[(F.col(f"_c{v}") + F.col(f"_o{v}")).alias(out) for out, v in names.items()],
@@ -201,25 +202,47 @@ def global_rank(
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5) -> DataFrame:
-    """Discrete quantile of each column as rows ``(feature, value)``; nulls are ignored.
+    """Discrete quantile of each column as rows ``(feature, value)``; null and NaN are ignored.
 
-    Values are counted first, so a frequent value is one row in everything that follows.
+    A sketch with a guaranteed rank error brackets the quantile of every column; the rows
+    below the bracket are only counted, and just the few inside it are put in order.
     """
-    pairs = F.explode(
+    nothing = F.lit(None).cast("double")
+    number = {c: F.nanvl(F.col(c).cast("double"), nothing) for c in cols}
+    slack = 2.0 / _SKETCH_ACCURACY
+    around = [max(0.0, q - slack), min(1.0, q + slack)]
+    row = df.agg(
+        *[F.percentile_approx(x, around, _SKETCH_ACCURACY) for x in number.values()],
+        *[F.count(x) for x in number.values()],
+    ).collect()[0]
+    bracket = {c: row[i] for i, c in enumerate(cols) if row[i]}
+    target = {c: max(1, math.ceil(row[len(cols) + i] * q)) for i, c in enumerate(cols)}
+    if not bracket:
+        return df.sparkSession.createDataFrame([], "feature string, value double")
+    below = df.agg(
+        *[F.count_if(number[c] < F.lit(low)).alias(c) for c, (low, _) in bracket.items()]
+    ).collect()[0]
+    inside = F.array_compact(
         F.array(
             *[
-                F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                for c in cols
+                F.when(
+                    number[c].between(low, high),
+                    F.struct(F.lit(c).alias("feature"), number[c].alias("value")),
+                )
+                for c, (low, high) in bracket.items()
             ]
         )
-    ).alias("p")
-    long = df.select(pairs).select("p.*").filter(F.col("value").isNotNull())
+    )
+    long = df.select(F.explode(inside).alias("p")).select("p.*")
     counted = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
     summed = running_sum(
-        counted, "value", None, {"cum": F.col("n")}, by="feature", totals={"total": "cum"},
+        counted, "value", None, {"cum": F.col("n")}, by="feature",
         splits=bucket_splits(long, "value"),
     )
-    reached = F.col("cum") >= F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(q)))
+    reached = F.lit(False)
+    for c in bracket:
+        enough = F.col("cum") >= F.lit(target[c] - below[c])
+        reached = reached | ((F.col("feature") == F.lit(c)) & enough)
     return summed.filter(reached).groupBy("feature").agg(F.min("value").alias("value"))
 
 

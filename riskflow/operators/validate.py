@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ from riskflow.operators.folds import fold_split
 from riskflow.operators.models import score_model
 from riskflow.operators.neighbors import knn_classify
 from riskflow.operators.scaling import apply_standardize, fit_standardize
-from riskflow.workspace import stage
+from riskflow.workspace import side_by_side, stage
 
 METRICS = ["accuracy", "precision", "recall", "f1", "auc"]
 Trainer = Callable[[DataFrame], PipelineModel]
@@ -53,11 +51,7 @@ def cross_validate(
             id, fold, F.col(label).alias("label"), "prediction", "score"
         )
 
-    pool = ThreadPool(min(parallelism, k))
-    try:
-        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
-    finally:
-        pool.close()
+    parts = side_by_side(df.sparkSession, one, range(k), parallelism)
     return stage(reduce(DataFrame.unionByName, parts), "out-of-fold")
 
 

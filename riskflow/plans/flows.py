@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +32,7 @@ from riskflow.operators.folds import ordered_folds, random_folds, stratified_fol
 from riskflow.operators.impute import apply_fill, fit_fill
 from riskflow.operators.models import (
     build_pipeline,
+    forest_estimator,
     train_final,
     train_forest,
     train_logreg,
@@ -201,7 +202,7 @@ def final_logreg(experiment: Experiment) -> PipelineModel:
 
 
 def final_forest(experiment: Experiment, **settings) -> PipelineModel:
-    forest = RandomForestClassifier(**{**C.FOREST_SETTINGS, **settings})
+    forest = forest_estimator(**settings)
     return train_final(build_pipeline(experiment.features, C.LABEL, forest), experiment.data)
 
 

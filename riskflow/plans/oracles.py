@@ -287,7 +287,7 @@ _FILL_MEDIAN = f"""{ENC}, med AS (SELECT {', '.join(
     f'quantile_disc({c}, 0.5) AS {c}' for c in FEATURES)} FROM enc)
 SELECT id, {', '.join(_r(f'coalesce(enc.{c}, med.{c})', c) for c in FEATURES)} FROM enc, med"""
 
-_BAD = "(age_text = 'abc' OR ap_text = 'n/a')"
+_BAD = "(coalesce(age_text = 'abc', false) OR coalesce(ap_text = 'n/a', false))"
 _JITTER = C.JITTER_COLUMNS
 
 
@@ -344,11 +344,10 @@ p AS (SELECT *, {_LENIENT_P} AS p FROM typed)
 SELECT id, age, cgpa, academic_pressure, gender, family_history, sleep_duration, depression,
   {_r('p', 'probability')}, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction FROM p""",
     "bad_row_counts": f"""{MESSY} SELECT CASE WHEN {_BAD} THEN 'bad' ELSE 'good' END AS kind,
-  sum(TRY_CAST(age_text AS DOUBLE)) AS age_sum, count(*) AS "rows" FROM
-  (SELECT *, coalesce({_BAD}, false) AS is_bad FROM messy)
+  sum(TRY_CAST(age_text AS DOUBLE)) AS age_sum, count(*) AS "rows" FROM messy
   GROUP BY CASE WHEN {_BAD} THEN 'bad' ELSE 'good' END""",
-    "bad_row_total": f"""{MESSY} SELECT coalesce({_BAD}, false) AS is_bad, count(*) AS "rows"
-  FROM messy GROUP BY coalesce({_BAD}, false)""",
+    "bad_row_total": f"""{MESSY} SELECT {_BAD} AS is_bad, count(*) AS "rows"
+  FROM messy GROUP BY {_BAD}""",
     "label_parse": f"""{MESSY} SELECT id, CASE WHEN label_text IN ('1', 'Yes', 'yes', 'True')
   THEN 1 ELSE 0 END AS label FROM messy""",
     "coerce_label": f"""{MESSY} SELECT id,

@@ -38,15 +38,13 @@ def _sniff(spark: SparkSession, path: str, seps: Sequence[str]) -> tuple[str, li
     return sep, columns
 
 
-def survey_schema(columns: Sequence[str], corrupt: str | None = None) -> T.StructType:
+def survey_schema(columns: Sequence[str]) -> T.StructType:
     """Types by name: the numeric answers are doubles, everything else is text."""
     fields = []
     for name in columns:
         short = RAW_FEATURES.get(name.strip())
         numeric = short is not None and short not in TEXT_FEATURES
         fields.append(T.StructField(name, T.DoubleType() if numeric else T.StringType()))
-    if corrupt:
-        fields.append(T.StructField(corrupt, T.StringType()))
     return T.StructType(fields)
 
 
@@ -68,11 +66,38 @@ def read_survey(
     reader = spark.read.option("header", True).option("sep", sep)
     if infer:
         return normalize_headers(reader.option("inferSchema", True).csv(path))
-    if corrupt:
-        # A row is judged by all its columns, whichever of them a query uses.
-        reader = reader.option("columnNameOfCorruptRecord", corrupt).option("columnPruning", False)
-    schema = schema or survey_schema(columns, corrupt)
-    return normalize_headers(reader.schema(schema).csv(path))
+    schema = schema or survey_schema(columns)
+    if not corrupt:
+        return normalize_headers(reader.schema(schema).csv(path))
+    text = reader.option("columnNameOfCorruptRecord", corrupt).schema(
+        T.StructType([*[_text(f.name) for f in schema], _text(corrupt)])
+    )
+    return normalize_headers(_typed(text.csv(path), schema, sep, corrupt))
+
+
+def _text(name: str) -> T.StructField:
+    return T.StructField(name, T.StringType())
+
+
+def _typed(text: DataFrame, schema: T.StructType, sep: str, corrupt: str) -> DataFrame:
+    """Cast text columns; keep the text of rows where a cast fails.
+
+    The check names every typed column, so a row is judged alike whichever columns a query
+    uses. (The reader itself only notices what it has to convert.)
+    """
+    typed = {f.name: quoted(f.name).try_cast(f.dataType) for f in schema if not _is_text(f)}
+    failed = F.lit(False)
+    for name, value in typed.items():
+        failed = failed | (quoted(name).isNotNull() & value.isNull())
+    whole = F.concat_ws(sep, *[F.coalesce(quoted(f.name), F.lit("")) for f in schema])
+    return text.select(
+        *[typed.get(f.name, quoted(f.name)).alias(f.name) for f in schema],
+        F.coalesce(quoted(corrupt), F.when(failed, whole)).alias(corrupt),
+    )
+
+
+def _is_text(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.StringType)
 
 
 def read_survey_lenient(
@@ -102,8 +127,6 @@ def split_bad_rows(df: DataFrame, corrupt_col: str = CORRUPT) -> tuple[DataFrame
 
 def count_rows(df: DataFrame, corrupt_col: str = CORRUPT) -> DataFrame:
     """``(is_bad, rows)`` in one pass."""
-    # Spark does not read the corrupt column alone, so the count looks at another one.
-    other = quoted(next(c for c in df.columns if c != corrupt_col))
     return df.groupBy(quoted(corrupt_col).isNotNull().alias("is_bad")).agg(
-        (F.count(other) + F.count_if(other.isNull())).alias("rows")
+        F.count("*").alias("rows")
     )

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 
+In = TypeVar("In")
+Out = TypeVar("Out")
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -52,3 +59,12 @@ def collect_bounded(df: DataFrame, limit: int) -> list[Row] | None:
     """The rows of a frame that must be small, or None when it has more than ``limit``."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def side_by_side(
+    spark: SparkSession, fn: Callable[[In], Out], items: Iterable[In], width: int
+) -> list[Out]:
+    """Run independent Spark work from several driver threads; only the results come back."""
+    items = list(items)
+    with ThreadPool(max(1, min(width, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items)
