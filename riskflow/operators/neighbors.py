@@ -35,7 +35,7 @@ BROADCAST_NUMBERS = 8_000_000
 MAX_BLOCKS = 32_768
 MAX_PIVOTS = 256
 _TILE_QUERIES = 256
-_TILE_BASE = 2048
+_TILE_BASE = 4096
 _SCALE = 1e9
 # Bounds are loosened by more than floating-point rounding can tighten them.
 _ROUNDING = 1e-12
@@ -57,30 +57,18 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return out
 
 
-def _distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances, summed feature by feature, on a grid of 1e-9."""
-    total = np.zeros((len(q), len(b)))
+def _exact(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distance of each pair of rows, summed feature by feature, in units of 1e-9."""
+    total = np.zeros(len(q))
     for d in range(q.shape[1]):
-        gap = q[:, d, None] - b[None, :, d]
-        gap *= gap
-        total += gap
-    total *= _SCALE
-    total += 0.5
-    return np.floor(total, out=total)
-
-
-def _smallest(dist: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k best finite entries per row, best first, ties by ``order``."""
-    if dist.shape[1] > k:
-        bound = np.partition(dist, k - 1, axis=1)[:, k - 1]
-    else:
-        bound = np.full(len(dist), np.inf)
-    rows, cols = np.nonzero((dist <= bound[:, None]) & np.isfinite(dist))
-    best = np.lexsort((order[cols], dist[rows, cols], rows))
-    rows, cols = rows[best], cols[best]
-    start = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - start < k
-    return rows[keep], cols[keep]
+        gap = q[:, d] - b[:, d]
+        total += gap * gap
+    return np.floor(total * _SCALE + 0.5)
+
+
+def _rank_in_row(rows: np.ndarray) -> np.ndarray:
+    """Position of each entry among the entries of its row; rows are sorted."""
+    return np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
 
 
 def _search(
@@ -90,27 +78,54 @@ def _search(
     b_id: np.ndarray,
     b_group: np.ndarray | None,
     k: int,
+    reach: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, base index, distance) of the k best base rows of every query."""
+    """(query index, base index, distance) of the k best base rows of every query, in order.
+
+    A matrix product gives every distance up to rounding; it only selects the pairs that
+    can still be among the k best, and those are then measured exactly. ``reach`` is a
+    known bound on the k-th distance.
+    """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    center = b.mean(axis=0)
+    near_q, near_b = q - center, b - center
+    b_norm = (near_b * near_b).sum(axis=1)
+    q_norm = (near_q * near_q).sum(axis=1)
+    # More than the rounding error of the product form.
+    error = 1e-15 * (q.shape[1] + 8) * (q_norm + b_norm.max())
     for q0 in range(0, len(q), _TILE_QUERIES):
-        tile = q[q0 : q0 + _TILE_QUERIES]
-        parts = []
+        q1 = min(q0 + _TILE_QUERIES, len(q))
+        limit = np.full(q1 - q0, np.inf) if reach is None else reach[q0:q1].copy()
+        rows = cols = np.zeros(0, dtype=np.int64)
+        dist = np.zeros(0)
         for b0 in range(0, len(b), _TILE_BASE):
-            dist = _distances(tile, b[b0 : b0 + _TILE_BASE])
+            b1 = min(b0 + _TILE_BASE, len(b))
+            rough = near_q[q0:q1] @ near_b[b0:b1].T
+            rough *= -2.0
+            rough += b_norm[None, b0:b1]
+            bar = (limit + 1.0) / _SCALE - q_norm[q0:q1] + error[q0:q1]
+            free = np.nonzero(np.isinf(limit))[0]
+            if len(free) and b1 - b0 > k:
+                open_rows = rough[free]
+                if q_group is not None:
+                    same = q_group[q0:q1][free][:, None] == b_group[None, b0:b1]
+                    open_rows = np.where(same, np.inf, open_rows)
+                kth = np.partition(open_rows, k - 1, axis=1)[:, k - 1]
+                bar[free] = kth + 2 * error[q0:q1][free] + 1.0 / _SCALE
+            r, c = np.nonzero(rough <= bar[:, None])
             if q_group is not None:
-                same = (
-                    q_group[q0 : q0 + _TILE_QUERIES, None]
-                    == b_group[None, b0 : b0 + _TILE_BASE]
-                )
-                dist[same] = np.inf
-            rows, cols = _smallest(dist, b_id[b0 : b0 + _TILE_BASE], k)
-            parts.append((rows, cols + b0, dist[rows, cols]))
-        rows, cols, dist = (np.concatenate(x) for x in zip(*parts))
-        best = np.lexsort((b_id[cols], dist, rows))
-        rows, cols, dist = rows[best], cols[best], dist[best]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-        found.append((rows[keep] + q0, cols[keep], dist[keep]))
+                allowed = q_group[q0 + r] != b_group[b0 + c]
+                r, c = r[allowed], c[allowed]
+            rows = np.concatenate([rows, r])
+            cols = np.concatenate([cols, c + b0])
+            dist = np.concatenate([dist, _exact(q[q0 + r], b[b0 + c])])
+            best = np.lexsort((b_id[cols], dist, rows))
+            rows, cols, dist = rows[best], cols[best], dist[best]
+            place = _rank_in_row(rows)
+            last = place == k - 1
+            limit[rows[last]] = np.minimum(limit[rows[last]], dist[last])
+            rows, cols, dist = rows[place < k], cols[place < k], dist[place < k]
+        found.append((rows + q0, cols, dist))
     if not found:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -152,7 +167,7 @@ def knn_join(
     exclude: str | None = None,
     carry: Sequence[str] = (),
     mode: str = "auto",
-    block_rows: int = 4096,
+    block_rows: int = 1024,
     query_rows: int = 8192,
 ) -> DataFrame:
     """The k nearest base rows of every query row: ``query_id, base_id, rank, distance``.
@@ -200,7 +215,7 @@ def _pairs_frame(
         if field.name.startswith("_carry_"):
             out[field.name] = b[field.name].to_numpy()[cols]
     if rank:
-        out["_rank"] = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
+        out["_rank"] = _rank_in_row(rows) + 1
     return pd.DataFrame(out)
 
 
@@ -338,16 +353,13 @@ def _blocked_join(
         return batch.assign(_block=block_id[home].astype("int32"))
 
     homes = stage(_add_columns(q, "_block int", go_home), "knn-home")
-    first = stage(_visit(homes, blocks, k, grouped, schema, query_rows), "knn-first")
+    unbounded = homes.withColumn("_d", F.lit(None).cast("double"))
+    first = stage(_visit(unbounded, blocks, k, grouped, schema, query_rows), "knn-first")
     # A full set of k at home bounds the k-th distance; otherwise there is no bound.
     reach = first.groupBy(F.col("query_id").alias("_id")).agg(
         F.when(F.count("*") >= k, F.max("_d")).alias("_d")
     )
     bounded = homes.join(reach, "_id", "left")
-    visit_schema = T.StructType([f for f in homes.schema.fields if f.name != "_block"]
-                                + [T.StructField("_block", T.IntegerType())])
-    own_columns = [f.name for f in visit_schema.fields if f.name != "_block"]
-
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             vectors = _matrix(batch["_vec"])
@@ -361,11 +373,11 @@ def _blocked_join(
                 near &= block_id[None, :] != home[i:stop, None]
                 rows, cols = np.nonzero(near)
                 if len(rows):
-                    yield batch[own_columns].iloc[rows + i].assign(
+                    yield batch.iloc[rows + i].assign(
                         _block=block_id[cols].astype("int32")
                     )
 
-    others = stage(bounded.mapInPandas(spread, visit_schema), "knn-visits")
+    others = stage(bounded.mapInPandas(spread, bounded.schema), "knn-visits")
     second = _visit(others, blocks, k, grouped, schema, query_rows)
     best = Window.partitionBy("query_id").orderBy("_d", "base_id")
     return (
@@ -398,6 +410,7 @@ def _visit(
             _matrix(left["_vec"]), left["_group"].to_numpy() if grouped else None,
             _matrix(right["_vec"]), right["_id"].to_numpy(),
             right["_group"].to_numpy() if grouped else None, k,
+            left["_d"].fillna(np.inf).to_numpy(dtype=np.float64),
         )
         return _pairs_frame(schema, left["_id"].to_numpy(), right, *found, rank=False)
 
