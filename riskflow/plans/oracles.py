@@ -374,6 +374,9 @@ SELECT id, age, cgpa, academic_pressure, gender, family_history, sleep_duration,
   1e0 AS same_one FROM survey""",
     "scaler_export": _long(FILLED, "filled", FEATURES, [
         "round(avg({c}), 6) + 0e0 AS mean", "round(stddev_samp({c}), 6) + 0e0 AS std"]),
+    "neighbor_params": _long(FILLED, "filled", FEATURES, [
+        "'KNN' AS model", "5 AS knn_k", "'euclidean' AS metric",
+        "round(avg({c}), 6) + 0e0 AS mean", "round(stddev_samp({c}), 6) + 0e0 AS std"]),
     "score_params": f"{FILLED} SELECT id, {_r(P_SQL, 'probability')} FROM filled",
     "score_fallback": f"{FILLED} SELECT id, {_r(_LENIENT_P, 'probability')} FROM filled",
     "score_details": f"""{FILLED}, prob AS (SELECT id, {P_SQL} AS p FROM filled)

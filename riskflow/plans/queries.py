@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import LinearSVCModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow import contract as C
@@ -37,9 +37,8 @@ from riskflow.operators.folds import ordered_folds, random_folds, stratified_fol
 from riskflow.operators.impute import apply_fill, feature_stats, fit_fill
 from riskflow.operators.models import (
     feature_importance,
-    margin_support_count,
     score_model,
-    stage_of,
+    train_forest,
     train_logreg,
     train_rbf_svm,
 )
@@ -48,14 +47,13 @@ from riskflow.operators.perturb import class_weights, flip_labels, gaussian_jitt
 from riskflow.operators.ranking import exact_quantiles, global_rank, running_sum
 from riskflow.operators.scaling import apply_standardize, fit_standardize
 from riskflow.operators.scoring import score_params, score_requests
-from riskflow.operators.validate import cross_validate, cv_report, fold_metrics
+from riskflow.operators.validate import cv_report
 from riskflow.plans.flows import (
     balanced_logreg_experiment,
     clean,
     final_forest,
     forest_experiment,
     knn_experiment,
-    knn_params,
     lenient_scored,
     logreg_experiment,
     svm_experiment,
@@ -65,12 +63,12 @@ from riskflow.sources.parameters import (
     Params,
     extract_params,
     fallback_params,
-    forest_summary,
     load_model,
     params_to_df,
     read_params,
     save_model,
     stored_params,
+    write_forest_summary,
     write_params,
 )
 from riskflow.sources.survey import (
@@ -79,7 +77,6 @@ from riskflow.sources.survey import (
     read_survey,
     read_survey_lenient,
     split_bad_rows,
-    with_absent_columns,
 )
 from riskflow.streaming.score_stream import start_scoring
 from riskflow.workspace import fresh_path, stage
@@ -603,6 +600,50 @@ def cv_rbf_svm(spark, sf_dir):
     return svm_experiment(survey(spark, sf_dir)).report
 
 
+def margin_support(spark, sf_dir):
+    """Rows on or inside the margin of the kernel machine trained on all rows."""
+    scaled = apply_standardize(
+        _filled(spark, sf_dir), fit_standardize(_filled(spark, sf_dir), C.FEATURES)
+    )
+    df = stage(scaled, "scaled")
+    model = train_rbf_svm(df, C.FEATURES, C.LABEL, standardize=False, calibration_folds=0)
+    margins = model.transform(df).withColumn("margin", vector_to_array("margin")[1])
+    signed = (F.lit(2.0) * F.col(C.LABEL) - 1) * F.col("margin")
+    return margins.groupBy(C.LABEL).agg(
+        F.count("*").alias("rows"), F.count_if(signed <= 1.0).alias("support")
+    )
+
+
+def neighbor_params(spark, sf_dir):
+    """The neighbour form of the parameter record, written and read back."""
+    df = _filled(spark, sf_dir)
+    moments = fit_standardize(df, C.FEATURES)
+    params = Params(list(moments.means), list(moments.stds), features=C.FEATURES, model="KNN",
+                    knn_k=5, metric="euclidean")
+    path = fresh_path(spark, "params")
+    write_params(spark, params, path)
+    row = params_to_df(spark, read_params(spark, path))
+    pairs = F.explode(F.arrays_zip("features", "means", "stds")).alias("p")
+    return _round(
+        row.select("model", "knn_k", "metric", pairs).select(
+            "model", "knn_k", "metric", F.col("p.features").alias("feature"),
+            F.col("p.means").alias("mean"), F.col("p.stds").alias("std"),
+        ),
+        "mean", "std",
+    )
+
+
+def forest_summary_query(spark, sf_dir):
+    """Importances of a small forest as the written summary holds them."""
+    df = clean(survey(spark, sf_dir), "median")
+    model = train_forest(df, C.FEATURES, C.LABEL, numTrees=20, maxDepth=5)
+    path = fresh_path(spark, "summary")
+    write_forest_summary(spark, model, path, avg_accuracy=0.0)
+    back = spark.read.json(path)
+    pairs = F.explode(F.arrays_zip("features", "importances")).alias("p")
+    return back.select("model_type", pairs).select("model_type", "p.features", "p.importances")
+
+
 def feature_importance_query(spark, sf_dir):
     data = clean(survey(spark, sf_dir), "median")
     experiment = type("_", (), {"data": data, "features": C.FEATURES})
@@ -683,5 +724,8 @@ QUERIES: dict[str, Query] = {
     "cv_forest": cv_forest,
     "cv_rbf_svm": cv_rbf_svm,
     "feature_importance": feature_importance_query,
+    "forest_summary": forest_summary_query,
+    "margin_support": margin_support,
+    "neighbor_params": neighbor_params,
     "params_export": params_export,
 }
