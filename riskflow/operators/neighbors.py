@@ -141,21 +141,25 @@ def _output_schema(id_type: T.DataType, base_id_type: T.DataType, payload: list)
 def _distinct_base(base: DataFrame, k: int, exclude: str | None, id: str) -> DataFrame:
     """Drop copies of a vector that cannot be among the k nearest of any query.
 
-    Of equal vectors in one exclusion group only the k smallest ids can win; when a query
-    excludes just its own id, one more is needed. Spark applies the limit before the
-    shuffle, so a vector that makes up much of the table stays cheap.
+    Of equal vectors in one exclusion group only the k smallest ids can win. With at most
+    k copies left per group, a query skips at most k of them, so the 2k smallest ids of a
+    vector are enough (k + 1 when a query skips just its own id). Spark applies these
+    limits before the shuffle, so a vector that makes up much of the table stays cheap.
     """
-    keys, limit = ["_vec"], k
-    if exclude == id:
-        limit = k + 1
-    elif exclude is not None:
-        keys.append("_group")
-    order = Window.partitionBy(*keys).orderBy("_id")
-    return (
-        base.withColumn("_copy", F.row_number().over(order))
-        .filter(F.col("_copy") <= limit)
-        .drop("_copy")
-    )
+    if exclude is None:
+        limits = [(["_vec"], k)]
+    elif exclude == id:
+        limits = [(["_vec"], k + 1)]
+    else:
+        limits = [(["_vec", "_group"], k), (["_vec"], 2 * k)]
+    for keys, limit in limits:
+        order = Window.partitionBy(*keys).orderBy("_id")
+        base = (
+            base.withColumn("_copy", F.row_number().over(order))
+            .filter(F.col("_copy") <= limit)
+            .drop("_copy")
+        )
+    return base
 
 
 def knn_join(

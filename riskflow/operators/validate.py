@@ -38,12 +38,11 @@ def cross_validate(
     are standardised on all rows beforehand, so the trainer should not scale again. The
     fits are independent and run side by side; the rows stay in Spark throughout.
     """
-    slim = df.select(id, fold, label, *features)
+    if fit_scope not in ("train", "all"):
+        raise ValueError(f"unknown fit_scope {fit_scope}")
+    slim = stage(df.select(id, fold, label, *features), "folds")
     if fit_scope == "all":
         slim = apply_standardize(slim, fit_standardize(slim, features))
-    elif fit_scope != "train":
-        raise ValueError(f"unknown fit_scope {fit_scope}")
-    slim = stage(slim, "folds")
 
     def one(i: int) -> DataFrame:
         train, test = fold_split(slim, i, fold)
@@ -69,8 +68,8 @@ def cross_validate_knn(
     The features are standardised on all rows, so the distances are the same for every
     fold; a row's own fold is excluded from its neighbours.
     """
-    slim = df.select(id, fold, label, *features)
-    slim = stage(apply_standardize(slim, fit_standardize(slim, features)), "folds")
+    slim = stage(df.select(id, fold, label, *features), "folds")
+    slim = apply_standardize(slim, fit_standardize(slim, features))
     voted = knn_classify(
         slim, slim, neighbors, features, label, id=id, exclude=fold, mode=mode
     )
