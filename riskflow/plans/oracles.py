@@ -149,9 +149,9 @@ def _report(per_fold: str, spread: str) -> str:
         cells = ", ".join(_r(f"{fn}({m})" if fn else m, m) for m in _M)
         return f"SELECT {name} AS fold, {samples} AS samples, {cells} FROM per_fold"
 
-    nothing = "CAST(NULL AS BIGINT)"
+    nothing = "CAST(NULL AS DOUBLE)"
     return f"""{per_fold}
-{row("'Fold ' || (fold + 1)", 'samples', '')}
+{row("'Fold ' || (fold + 1)", 'CAST(samples AS DOUBLE)', '')}
 UNION ALL {row("'AVG'", nothing, 'avg')}
 UNION ALL {row("'STD'", nothing, spread)}"""
 
@@ -205,7 +205,7 @@ def _answer(expr: str, name: str) -> str:
 
 ANSWERS = f"""{SERVED}
 SELECT id, {_answer('round(p, 6) + 0e0', 'probability')},
-  {_answer('CAST(floor(p * 100) AS INTEGER)', 'percent')},
+  {_answer('floor(p * 100)', 'percent')},
   {_answer(f"CASE WHEN p >= 0.5 THEN '{C.STATUS_HIGH}' ELSE '{C.STATUS_SAFE}' END", 'status')},
   {_answer('round(academic_pressure / 5e0, 6) + 0e0', 'ap')},
   {_answer('round(financial_stress / 5e0, 6) + 0e0', 'fs')},

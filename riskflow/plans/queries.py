@@ -374,7 +374,8 @@ def _requests(df: DataFrame) -> DataFrame:
 
 def _answers(df: DataFrame) -> DataFrame:
     return df.select(
-        "id", rounded("probability").alias("probability"), "percent", "status",
+        "id", rounded("probability").alias("probability"),
+        F.col("percent").cast("double").alias("percent"), "status",
         rounded("risk.ap").alias("ap"), rounded("risk.fs").alias("fs"),
         rounded("risk.sd").alias("sd"), rounded("risk.ss").alias("ss"), "error",
     )
@@ -494,7 +495,9 @@ def cv_knn(spark, sf_dir):
 
 
 def _report(df: DataFrame) -> DataFrame:
-    return _round(df, "accuracy", "precision", "recall", "f1", "auc")
+    """Rounded report; the sample count, missing in two rows, as a double."""
+    counted = df.withColumn("samples", F.col("samples").cast("double"))
+    return _round(counted, "accuracy", "precision", "recall", "f1", "auc")
 
 
 def confusion_query(spark, sf_dir):
