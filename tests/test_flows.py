@@ -139,3 +139,18 @@ def test_queries_agree_with_sql(spark, small_dir):
         except AssertionError as e:
             wrong.append(f"{name}: {str(e)[:300]}")
     assert not wrong, "\n".join(wrong)
+
+
+def test_jobs_from_the_command_line(spark, csv, tmp_path):
+    from riskflow.__main__ import main
+
+    params, report, out = (str(tmp_path / n) for n in ("params", "report", "out"))
+    main(["train", csv, params])
+    assert read_params(spark, params).model == "LR"
+    main(["experiment", "knn", csv, report, "--artifacts", str(tmp_path / "knn")])
+    assert spark.read.json(report).count() == 7
+    assert read_params(spark, str(tmp_path / "knn" / "params")).knn_k == 5
+    requests = tmp_path / "requests.json"
+    requests.write_text("\n".join(map(json.dumps, REQUESTS)))
+    main(["score", str(requests), params, out, "--schema", REQUEST_SCHEMA])
+    assert spark.read.parquet(out).filter("error is null").count() == 1
