@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskflow.llm import decontaminate, mixing, sharding, simhash
+from riskflow.llm import decontaminate, mixing, sharding, simhash, toxicity
 from riskflow.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op9_shard(spark, sf_dir):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_toxicity": op4_toxicity,
     "op6_simhash": op6_simhash,
     "op9_shard": op9_shard,
     "op10_decontaminate": op10_decontaminate,
