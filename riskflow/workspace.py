@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
@@ -14,25 +13,17 @@ from pyspark.sql import DataFrame, Row, SparkSession
 In = TypeVar("In")
 Out = TypeVar("Out")
 
-_local_dirs: dict[str, str] = {}
-
 
 def workspace_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a single-machine session without that setting gets a folder of its own;
-    on a cluster the setting is required, because a machine-local path would not
-    be visible to the other executors.
+    Without that setting it is a folder below the session's warehouse, which all
+    executors share as well. Nothing is kept in a machine's own temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="riskflow-")
-    return _local_dirs[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_workspace"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
