@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskflow.llm import decontaminate, mixing, sharding, simhash, toxicity
+from riskflow.llm import decontaminate, mixing, sharding, simhash, toxicity, warc
 from riskflow.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark, sf_dir):
+    return warc.archive_index(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -32,8 +36,9 @@ def op9_shard(spark, sf_dir):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op9_shard": op9_shard,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE}
