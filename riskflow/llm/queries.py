@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskflow.llm import decontaminate, mixing, sharding, simhash, toxicity, warc
+from riskflow.llm import decontaminate, mixing, multi_index, sharding, simhash, toxicity, warc
 from riskflow.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbors(spark, sf_dir):
+    return multi_index.nearest(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_decontaminate(spark, sf_dir):
     found = decontaminate.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -38,6 +42,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op8_neighbors": op8_neighbors,
     "op9_shard": op9_shard,
     "op10_decontaminate": op10_decontaminate,
 }
