@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskflow.llm import decontaminate, mixing, multi_index, sharding, simhash, toxicity, warc
+from riskflow.llm import decontaminate, language_gru, mixing, multi_index, quality_rules, sharding, simhash, toxicity, warc
 from riskflow.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark, sf_dir):
+    return quality_rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark, sf_dir):
+    return language_gru.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,9 +47,11 @@ def op9_shard(spark, sf_dir):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_language": op7_language,
     "op8_neighbors": op8_neighbors,
     "op9_shard": op9_shard,
     "op10_decontaminate": op10_decontaminate,
