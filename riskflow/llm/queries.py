@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskflow.llm import decontaminate, language_gru, mixing, multi_index, quality_rules, sharding, simhash, toxicity, warc
+from riskflow.llm import decontaminate, language_gru, mixing, multi_index, quality_rules, run_index, sharding, simhash, toxicity, warc
 from riskflow.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return run_index.cut_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_quality(spark, sf_dir):
     return quality_rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ def op9_shard(spark, sf_dir):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
