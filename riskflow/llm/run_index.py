@@ -244,20 +244,43 @@ _PLACE = "k1 long, k2 long, first long, n long"
 
 
 def _sort_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Give segments of one picked hash their kind: 0 repeated, 1 to index, 2 reference, 3 many."""
+    """Give segments of one picked hash their kind.
+
+    0: its windows are repeated, 1: to index, 2: reference for others, 3 and 4: the same
+    where very many differ. Rows that come with kind 0 pass through.
+    """
+    columns = ["h", "k1", "k2", "first", "n", "kind"]
     for pdf in _whole_groups(batches, ["h"]):
+        yield pdf.loc[pdf["kind"] == 0, columns]
+        pdf = pdf[pdf["kind"] != 0]
+        if not len(pdf):
+            continue
         h, f1, f2 = (pdf[c].to_numpy() for c in ("h", "f1", "f2"))
         group, same = _runs(h), _runs(h, f1, f2)
         copies = np.diff(np.concatenate([same, [len(h)]]))
+        again = np.maximum.reduceat(pdf["kind"].to_numpy() == 2, same) | (copies > 1)
         home = np.searchsorted(group, same, side="right") - 1
         kinds = np.bincount(home, minlength=len(group))
         several, many = kinds[home] > 1, kinds[home] > MANY
         kind = np.where(several, np.where(many, 3, 1), -1)
-        again = copies > 1
-        out = [pdf.assign(kind=0)[np.repeat(again, copies)]]
         one = pdf.iloc[same].assign(kind=np.where(again & several, np.where(many, 4, 2), kind))
-        out.append(one[one["kind"] > 0])
-        yield pd.concat(out, ignore_index=True)[["h", "k1", "k2", "first", "n", "kind"]]
+        out = [pdf.assign(kind=0)[np.repeat(again, copies)], one[one["kind"] > 0]]
+        yield pd.concat(out, ignore_index=True)[columns]
+
+
+def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Settle equal segments of one batch before the shuffle.
+
+    One of them goes on to its hash's task as repeated (kind 2; a single one has kind 1).
+    The others are settled: kind 0, spread over the tasks by their own place.
+    """
+    pdf = pdf.iloc[np.lexsort((pdf["f2"], pdf["f1"], pdf["h"]))].reset_index(drop=True)
+    same = _runs(*[pdf[c].to_numpy() for c in ("h", "f1", "f2")])
+    copies = np.diff(np.concatenate([same, [len(pdf)]]))
+    kind = np.zeros(len(pdf), dtype=np.int32)
+    kind[same] = np.where(copies > 1, 2, 1)
+    place = mix(pdf["k1"].to_numpy().view(np.uint64) + pdf["first"].to_numpy().astype(np.uint64)).view(np.int64)
+    return pdf.assign(kind=kind, h=np.where(kind == 0, place, pdf["h"]))
 
 
 def _index_batches(length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -311,17 +334,23 @@ def _keys(digest: Column) -> tuple[Column, Column]:
     return part(1), part(17)
 
 
-def repeated_marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, first, n): runs of window starts that occur elsewhere.
+def repeated_marks(texts: DataFrame, often: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(k1, k2, first, n): runs of window starts that occur elsewhere, in texts that occur once.
 
-    ``texts`` has distinct byte strings ``b`` with their keys k1 and k2.
+    ``texts`` has byte strings ``b`` with their keys k1 and k2 and an id ``i``; ``often``
+    has the keys of texts that occur more than once and the id ``r`` of one such row.
     """
     spark = texts.sparkSession
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[int, int]] = set()
         for pdf in batches:
             out = []
             for k1, k2, b in zip(pdf["k1"], pdf["k2"], pdf["b"]):
+                # Equal texts repeat wholly, which is known; a task looks at one of them.
+                if (k1, k2) in seen:
+                    continue
+                seen.add((k1, k2))
                 first, n, h, f1, f2 = segments(np.frombuffer(b, dtype=np.uint8), length, gram)
                 if len(first):
                     out.append(pd.DataFrame({
@@ -329,25 +358,30 @@ def repeated_marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                         "k1": k1, "k2": k2, "first": first, "n": n,
                     }))
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield _combine(pd.concat(out, ignore_index=True))
 
     with small_batches(spark, 1024):
         pieces = texts.where(F.octet_length("b") >= length).mapInPandas(
-            cut, f"h long, f1 long, f2 long, {_PLACE}"
+            cut, f"h long, f1 long, f2 long, {_PLACE}, kind int"
         )
         sorted_ = pieces.repartition("h").sortWithinPartitions("h", "f1", "f2")
         with small_batches(spark, 20_000):
             found = stage(sorted_.mapInPandas(_sort_out, "h long, k1 long, k2 long, first long, n long, kind int"), "runs-kinds")
-        asked = found.where("kind > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "first", "n", "kind")).alias("s"))
+        found = found.join(often.select("k1", "k2", "r", F.lit(True).alias("copied")), ["k1", "k2"], "left")
+        asked = found.where("kind > 0").groupBy("k1", "k2", "r", "copied").agg(F.collect_list(
+            F.struct("h", "first", "n", F.when(F.col("copied"), F.col("kind") + F.col("kind") % 2).otherwise(F.col("kind")).alias("kind"))
+        ).alias("s"))
         fetched = (
-            texts.hint("shuffle_hash").join(asked, ["k1", "k2"]).select("k1", "k2", "b", F.explode("s").alias("s"))
+            texts.hint("shuffle_hash").join(asked, ["k1", "k2"])
+            .where(F.col("copied").isNull() | F.col("i").eqNullSafe(F.col("r")))
+            .select("k1", "k2", "b", F.explode("s").alias("s"))
             .select(
                 "s.h", "k1", "k2", "s.first", "s.kind",
                 F.substring("b", (F.col("s.first") + 1).cast("int"), (F.col("s.n") + length - 1).cast("int")).alias("bytes"),
             )
         )
         fetched = stage(fetched, "runs-fetched")
-        marks = found.where("kind = 0").select("k1", "k2", "first", "n")
+        marks = found.where("kind = 0 and copied is null").select("k1", "k2", "first", "n")
         indexed = fetched.where("kind <= 2").repartition("h").sortWithinPartitions("h")
         marks = marks.unionByName(stage(indexed.mapInPandas(_index_batches(length), _PLACE), "runs-marks"))
         hot = fetched.where("kind > 2")
@@ -384,20 +418,12 @@ def cut_repeats(
     )
     k = _keys(F.col("sha"))
     often = stage(
-        rows.groupBy("sha", "n_bytes").agg(F.count("*").alias("m"))
+        rows.groupBy("sha", "n_bytes").agg(F.count("*").alias("m"), F.min("id").alias("r"))
         .select("*", k[0].alias("k1"), k[1].alias("k2")).where((F.col("m") > 1) & (F.col("n_bytes") >= length)),
         "runs-often",
     )
-    keyed = df.select(b.alias("b"), k1.alias("k1"), k2.alias("k2"))
-    once = keyed
-    if not often.isEmpty():
-        # Of equal texts one is looked at, and none of it is kept.
-        twice = often.select("k1", "k2")
-        once = keyed.join(twice, ["k1", "k2"], "left_anti").unionByName(
-            keyed.join(twice, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("b").alias("b")).select("b", "k1", "k2")
-        )
-    marks = repeated_marks(once, length, gram)
-    marks = marks.join(often.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    keyed = df.select(b.alias("b"), k1.alias("k1"), k2.alias("k2"), col(id_col).alias("i"))
+    marks = repeated_marks(keyed, often, length, gram)
     lists = stage(
         marks.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("s")), "runs-lists"
     )
