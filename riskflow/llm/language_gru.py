@@ -147,9 +147,13 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[lis
         F.array_sort(F.transform(F.array_distinct(F.split("t", r"\s+")), lambda w: F.struct(F.xxhash64(w), w.alias("w")))),
         1, TRAIN_TOKENS,
     )
+    # Rows below a hash bound are few more than wanted, so little is sent to the driver.
+    h = F.shiftrightunsigned(F.xxhash64("t", "l"), 11) * F.lit(2.0**-53)
+    bound = 1.3 * TRAIN_ROWS / max(1, rows.count())
     sample = (
-        rows.orderBy(F.xxhash64("t", "l")).limit(TRAIN_ROWS)
-        .select("l", F.transform(mix, lambda s: s["w"]).alias("ws")).toPandas()
+        rows.withColumn("h", h).where(F.col("h") < bound)
+        .select("h", "l", F.transform(mix, lambda s: s["w"]).alias("ws"))
+        .orderBy("h").limit(TRAIN_ROWS).toPandas()
     )
     code = {lang: i for i, lang in enumerate(langs)}
     tokens, y = [], []
