@@ -21,11 +21,12 @@ def coerce_numeric(col: Column, strict: bool = False, default: float | None = No
 
 
 def coerce_label(col: Column, default: int | None = None) -> Column:
-    """Column as int, cut toward zero; text that is no number becomes ``default``."""
-    number = col.try_cast("double")
-    if default is not None:
-        number = F.coalesce(number, F.lit(float(default)))
-    return number.cast("int")
+    """Column as int, cut toward zero.
+
+    Text that is no number, NaN and numbers beyond the int range become ``default``.
+    """
+    number = F.nanvl(col.try_cast("double"), F.lit(None).cast("double")).try_cast("int")
+    return number if default is None else F.coalesce(number, F.lit(int(default)))
 
 
 def parse_label(col: Column, truthy: Sequence[str]) -> Column:

@@ -105,8 +105,10 @@ def _score_steps(
 ) -> DataFrame:
     """Running positives and negatives over the distinct scores of each group.
 
-    Equal scores collapse into one row before anything is ordered.
+    Equal scores collapse into one row before anything is ordered. Rows without a score
+    are left out, whichever way the scores are ordered.
     """
+    df = df.filter(F.col(score).isNotNull())
     steps = df.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     ).filter(F.col("_pos") + F.col("_neg") > 0)

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.operators.ranking import exact_quantiles
 
+
+
+def present(col: Column) -> Column:
+    """Column as double with NaN as missing."""
+    return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
+
+
 _AGGREGATES = {
     "mean": lambda c: F.avg(c),
     "std": lambda c: F.stddev_samp(c),
@@ -23,7 +30,7 @@ def feature_stats(
 ) -> DataFrame:
     """One row per column with the wanted statistics (``median`` is approximate)."""
     wide = df.agg(
-        *[_AGGREGATES[s](F.col(c).cast("double")).alias(f"{c}|{s}") for c in cols for s in stats]
+        *[_AGGREGATES[s](present(F.col(c))).alias(f"{c}|{s}") for c in cols for s in stats]
     )
     rows = F.array(
         *[
@@ -48,10 +55,10 @@ def fit_fill(
     A column without any value raises, or is left out with ``on_empty="skip"``.
     """
     if strategy == "mean":
-        row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).collect()[0]
+        row = df.agg(*[F.avg(present(F.col(c))).alias(c) for c in cols]).collect()[0]
         fill = {c: row[c] for c in cols}
     elif strategy == "median" and rel_err > 0:
-        doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        doubles = df.select(*[present(F.col(c)).alias(c) for c in cols])
         found = doubles.approxQuantile(list(cols), [0.5], rel_err)
         fill = {c: (q[0] if q else None) for c, q in zip(cols, found)}
     elif strategy == "median":
@@ -67,10 +74,9 @@ def fit_fill(
 
 def apply_fill(df: DataFrame, fill: Mapping[str, float]) -> DataFrame:
     """Replace nulls (and NaN) by the fill values; columns become double first."""
-    number = {c: F.col(c).cast("double") for c in fill}
     return df.withColumns(
         {
-            c: F.coalesce(F.nanvl(number[c], F.lit(None).cast("double")), F.lit(float(v)))
+            c: F.coalesce(present(F.col(c)), F.lit(float(v)))
             for c, v in fill.items()
         }
     )

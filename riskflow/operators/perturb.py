@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskflow.contract import FLIP_RATE, JITTER_COLUMNS, JITTER_FACTOR, SEED
 from riskflow.functions.scalar import seeded_hash, seeded_normal
+from riskflow.operators.impute import present
 from riskflow.operators.ranking import at_or_before, group_sizes, hash_cutoffs
 
 
@@ -20,15 +21,15 @@ def gaussian_jitter(
     id: str = "id",
 ) -> DataFrame:
     """Add normal noise of ``factor`` sample deviations to each listed column that exists."""
-    present = [c for c in cols if c in df.columns]
-    if not present:
+    found = [c for c in cols if c in df.columns]
+    if not found:
         return df
-    spread = df.agg(*[F.stddev_samp(c).alias(c) for c in present]).collect()[0]
+    spread = df.agg(*[F.stddev_samp(present(F.col(c))).alias(c) for c in found]).collect()[0]
     return df.withColumns(
         {
             c: F.col(c).cast("double")
             + F.lit((spread[c] or 0.0) * factor) * seeded_normal(f"{seed}:{c}", id)
-            for c in present
+            for c in found
         }
     )
 

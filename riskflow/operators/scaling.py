@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.operators.impute import present
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -34,8 +36,8 @@ def fit_standardize(df: DataFrame, cols: Sequence[str], ddof: int = 1) -> Moment
     """Moments of all columns in one aggregate; ``ddof`` 1 is sample, 0 population."""
     spread = F.stddev_samp if ddof == 1 else F.stddev_pop
     row = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[spread(c).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[F.avg(present(F.col(c))).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[spread(present(F.col(c))).alias(f"s{i}") for i, c in enumerate(cols)],
     ).collect()[0]
     n = len(cols)
     return Moments(tuple(cols), tuple(row[:n]), tuple(row[n:]))

@@ -60,14 +60,16 @@ def score_requests(
     """Answer score requests: ``probability, percent, status, risk, error``.
 
     Takes request field names or feature names, as text or numbers, from a batch or a
-    stream. A request with a number that is missing or does not parse gets an ``error``
+    stream. A request with a number that is missing, NaN or does not parse gets an ``error``
     and no score.
     """
     named = df.toDF(*[REQUEST_FIELDS.get(c, c) for c in df.columns])
     require_columns(named, params.names)
     numbers = [c for c in params.names if c not in spec]
     encoded = encode_survey(named, spec).withColumns(
-        {c: F.col(c).try_cast("double") for c in numbers}
+        {
+            c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")) for c in numbers
+        }
     )
     problems = F.concat_ws(
         "; ", *[F.when(F.col(c).isNull(), F.lit(f"no number in {c}")) for c in numbers]

@@ -66,7 +66,8 @@ def cross_validate_knn(
     """Out-of-fold nearest-neighbour predictions of all folds in one join.
 
     The features are standardised on all rows, so the distances are the same for every
-    fold; a row's own fold is excluded from its neighbours.
+    fold; a row's own fold is excluded from its neighbours. A row without any neighbour
+    outside its fold stays, with a null score and prediction.
     """
     slim = stage(df.select(id, fold, label, *features), "folds")
     slim = apply_standardize(slim, fit_standardize(slim, features))
@@ -74,7 +75,7 @@ def cross_validate_knn(
         slim, slim, neighbors, features, label, id=id, exclude=fold, mode=mode
     )
     truth = slim.select(id, fold, F.col(label).alias("label"))
-    return truth.join(voted, id)
+    return truth.join(voted, id, "left")
 
 
 def fold_metrics(
