@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.scalar import safe_divide
-from riskflow.operators.ranking import bucket_splits, running_sum
+from riskflow.operators.ranking import running_sum
+from riskflow.workspace import stage
 
 
 def _groups(by: str | Sequence[str] | None) -> list[str]:
@@ -112,10 +113,10 @@ def _score_steps(
     steps = df.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     ).filter(F.col("_pos") + F.col("_neg") > 0)
+    # Written once: bounds, sizes and running sums all read the collapsed rows.
     return running_sum(
-        steps, "_score", None, {"_tp": F.col("_pos"), "_fp": F.col("_neg")},
+        stage(steps, "score-steps"), "_score", None, {"_tp": F.col("_pos"), "_fp": F.col("_neg")},
         by=by or None, descending=descending, totals={"_P": "_tp", "_N": "_fp"},
-        splits=bucket_splits(df, score, descending=descending),
     )
 
 

@@ -42,7 +42,8 @@ def stratified_folds(
     """Shuffled folds in which each class is spread evenly (sizes differ by at most one).
 
     Each class is ordered by a seeded hash and cut into ``k`` runs. Only the cut points
-    are looked up, so the rows themselves are not shuffled.
+    are looked up, so the rows themselves are not shuffled; a label of very many classes is
+    ranked instead, with the same result. Rows without a label form a class of their own.
     """
     hashed = seeded_hash(seed, id)
     sizes = group_sizes(df, label)
@@ -55,15 +56,13 @@ def stratified_folds(
             for i in range(1, k)
         )
         return ranked.withColumn(out, fold).drop("_h", "_rank", "_size")
-    if None in sizes:
-        raise ValueError(f"null in {label}")
     ranks = {c: [n * i // k for i in range(1, k)] for c, n in sizes.items()}
     cutoffs = hash_cutoffs(df, hashed, id, ranks, by=label)
     keyed = df.withColumn("_h", hashed)
     fold = F.lit(None).cast("int")
     for c, marks in cutoffs.items():
         beyond = sum((~at_or_before(F.col("_h"), id, m)).cast("int") for m in marks)
-        fold = F.when(F.col(label) == F.lit(c), beyond).otherwise(fold)
+        fold = F.when(F.col(label).eqNullSafe(F.lit(c)), beyond).otherwise(fold)
     return keyed.withColumn(out, fold).drop("_h")
 
 

@@ -54,11 +54,13 @@ def flip_labels(
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Balanced weight n / (classes * n_class) on every row; the weights sum to n."""
+    """Balanced weight n / (classes * n_class) on every row; the weights sum to n.
+
+    Rows without a label belong to no class: they are not counted and their weight is null.
+    """
     sizes = group_sizes(df, label)
     if sizes is not None:
-        if None in sizes:
-            raise ValueError(f"null in {label}")
+        sizes.pop(None, None)
         total = sum(sizes.values())
         weight = F.lit(None).cast("double")
         for c, n in sizes.items():
@@ -67,7 +69,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
             )
         return df.withColumn(out, weight)
     # Too many classes for literals: join the per-class counts instead.
-    per_class = df.groupBy(label).agg(F.count("*").alias("_n"))
+    per_class = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
     total = per_class.agg(F.sum("_n"), F.count("*")).collect()[0]
     weights = per_class.select(
         label, (F.lit(float(total[0])) / (F.lit(float(total[1])) * F.col("_n"))).alias(out)

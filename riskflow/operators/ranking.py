@@ -14,15 +14,21 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, TimestampNTZType, TimestampType
 
 from riskflow.functions.scalar import HASH_BITS
 from riskflow.workspace import collect_bounded
 
-_MAX_BUCKETS = 16384
+_MAX_BUCKETS = 65536
+_BUCKET_ROWS = 1_000_000
+_OVERSAMPLE = 8
+_BOUND_CHARS = 256
+_HASH_SPACE = 1 << 40
 _RADIX_BITS = 12
 _FETCH_ROWS = 512
 _SKETCH_ACCURACY = 10000
@@ -31,27 +37,34 @@ _MAX_GROUPS = 256
 
 @dataclass(frozen=True)
 class Splits:
-    """Literal bucket bounds for an order key and, for its heavy values, the tie-breaker."""
+    """Literal bucket bounds in rank order: an order key and, if there is one, a tie-breaker."""
 
-    key: tuple[float, ...]
-    heavy: tuple[int, ...]
-    tie: tuple[float, ...]
-
-
-def _order_key(col: Column, descending: bool) -> Column:
-    number = col.cast("double")
-    number = -number if descending else number
-    return (
-        F.when(number.isNull(), F.lit(-math.inf))
-        .when(F.isnan(number), F.lit(math.inf))
-        .otherwise(number + F.lit(0.0))
-    )
+    bounds: tuple[tuple, ...]
 
 
 def _as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _comparable(df: DataFrame, c: Column | str) -> Column:
+    """The column in a type of the same order whose values stay exact as literals."""
+    c = _as_column(c)
+    kind = df.select(c).schema[0].dataType
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(c)
+    return c.cast("string") if isinstance(kind, TimestampNTZType) else c
+
+
+def _first(c: Column, descending: bool) -> Column:
+    return c.desc_nulls_first() if descending else c.asc_nulls_first()
+
+
+def _before(a: Column, b: Column, descending: bool) -> Column:
+    """True if value ``a`` stands strictly before ``b``; null comes first in both directions."""
+    ahead = a > b if descending else a < b
+    return F.coalesce(ahead, a.isNull() & b.isNotNull())
+
+
 def bucket_splits(
     df: DataFrame,
     order_by: Column | str,
@@ -59,57 +72,59 @@ def bucket_splits(
     descending: bool = False,
     buckets: int | None = None,
 ) -> Splits:
-    """Split points from one pass over the order columns.
+    """Split points at even distances in a sample of distinct (key, tie-breaker) pairs.
 
-    A key value that fills several quantiles gets a bucket of its own, which is cut
-    further by quantiles of the tie-breaker; no bucket then holds much more than
-    1/buckets of the rows, however the keys repeat.
+    The pairs compare in the columns' own order, so any sortable type will do, and a key
+    value that fills several buckets is cut by its tie-breakers. The number of buckets
+    grows with the number of rows. The sample is drawn by value and holds a fixed number
+    of pairs for each bucket; bounds are cut to ``_BOUND_CHARS`` characters.
     """
+    given = [c for c in (order_by, tie_breaker) if c is not None]
+    keys = [_comparable(df, c).alias(f"_k{i}") for i, c in enumerate(given)]
+    places = df.select(*keys)
+    pair = F.xxhash64(*places.columns)
+    rows, pairs = places.agg(F.count("*"), F.approx_count_distinct(pair, 0.02)).collect()[0]
     if buckets is None:
-        buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(2 * partitions, rows // _BUCKET_ROWS)
     buckets = min(max(buckets, 2), _MAX_BUCKETS)
-    probs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10000, 8 * buckets)
-    wanted = [F.percentile_approx(_order_key(_as_column(order_by), descending), probs, accuracy)]
-    if tie_breaker is not None:
-        tie = _order_key(_as_column(tie_breaker), False)
-        wanted.append(F.percentile_approx(tie, probs, accuracy))
-    found = [list(x or []) for x in df.agg(*wanted).collect()[0]]
-    points: set[float] = set()
-    repeated: set[float] = set()
-    for value in found[0]:
-        (repeated if value in points else points).add(value)
-    repeated &= {v for v in repeated if math.isfinite(v)}
-    bounds = sorted(
-        v
-        for v in points | {math.nextafter(r, math.inf) for r in repeated}
-        if math.isfinite(v)
-    )
-    ties = sorted({v for v in found[1] if math.isfinite(v)}) if len(found) > 1 else []
-    heavy = tuple(bounds.index(r) + 1 for r in sorted(repeated)) if ties else ()
-    return Splits(tuple(bounds), heavy, tuple(ties) if heavy else ())
-
-
-def _bucketize(df: DataFrame, source: str, bounds: Sequence[float], out: str) -> DataFrame:
-    if not bounds:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [-math.inf, *bounds, math.inf]
-    return Bucketizer(splits=splits, inputCol=source, outputCol=out).transform(df)
-
-
-def _with_buckets(
-    df: DataFrame, key: Column, tie: Column | None, splits: Splits
-) -> DataFrame:
-    out = _bucketize(df.withColumn("_key", key), "_key", splits.key, "_b")
-    bucket = F.col("_b").cast("bigint")
-    if splits.heavy:
-        out = _bucketize(out.withColumn("_t", _order_key(tie, False)), "_t", splits.tie, "_tb")
-        width = len(splits.tie) + 1
-        inner = F.when(bucket.isin(*splits.heavy), F.col("_tb").cast("bigint")).otherwise(
-            F.lit(0)
+    wanted = _OVERSAMPLE * buckets
+    if pairs > wanted:
+        places = places.filter(
+            F.pmod(pair, F.lit(_HASH_SPACE)) < F.lit(_HASH_SPACE * wanted // pairs)
         )
-        bucket = bucket * F.lit(width) + inner
-    return out.withColumn("_bucket", bucket).drop("_b", "_t", "_tb")
+    short = {
+        f.name: F.substring(f.name, 1, _BOUND_CHARS)
+        for f in places.schema if isinstance(f.dataType, StringType | BinaryType)
+    }
+    order = [_first(F.col(c), descending and i == 0) for i, c in enumerate(places.columns)]
+    sample = places.withColumns(short) if short else places
+    found = [tuple(r) for r in sample.distinct().orderBy(*order).collect()]
+    marks = sorted({len(found) * i // buckets for i in range(1, buckets)} - {0})
+    return Splits(tuple(found[i] for i in marks))
+
+
+def _bucket(df: DataFrame, keys: Sequence[Column], splits: Splits, descending: bool) -> Column:
+    """How many bounds a row has reached, by binary search in the literal bounds."""
+    many = len(splits.bounds)
+    if not many:
+        return F.lit(0)
+    kinds = [df.select(k).schema[0].dataType for k in keys]
+    bounds = [
+        F.array(*[F.lit(b[i]).cast(kind) for b in splits.bounds]) for i, kind in enumerate(kinds)
+    ]
+
+    def step(reached: Column, width: Column) -> Column:
+        at = reached + width
+        bound = [F.get(b, at - F.lit(1)) for b in bounds]
+        passed = _before(bound[0], keys[0], descending)
+        same = bound[0].eqNullSafe(keys[0])
+        if len(keys) > 1:
+            same = same & ~_before(keys[1], bound[1], False)
+        return F.when((at <= F.lit(many)) & (passed | same), at).otherwise(reached)
+
+    widths = [1 << i for i in reversed(range(many.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(w) for w in widths]), F.lit(0), step)
 
 
 def running_sum(
@@ -125,7 +140,7 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sums in (order_by, tie_breaker) order, separately per ``by``.
 
-    ``order_by`` is compared as double. ``values`` maps an output column to the summed
+    Columns of any sortable type compare in their own order, nulls first. ``values`` maps an output column to the summed
     expression; ``totals`` maps further output columns to entries of ``values`` and
     adds their sum over the whole group. Null is a group like any other.
     """
@@ -135,8 +150,10 @@ def running_sum(
     first_tie = ties[0] if ties else None
     if splits is None:
         splits = bucket_splits(df, order_by, first_tie, descending, buckets)
-    key = _order_key(_as_column(order_by), descending)
-    keyed = _with_buckets(df, key, F.col(first_tie) if first_tie else None, splits)
+    sought = [_comparable(df, c) for c in (order_by, first_tie) if c is not None]
+    keyed = df.withColumns(
+        {"_key": _as_column(order_by), "_bucket": _bucket(df, sought, splits, descending)}
+    )
     inputs = {f"_v{i}": expr for i, expr in enumerate(values.values())}
     names = dict(zip(values, inputs))
     keyed = keyed.withColumns(inputs)
@@ -159,7 +176,7 @@ def running_sum(
 
     inside = (
         Window.partitionBy("_place")
-        .orderBy("_key", *ties)
+        .orderBy(_first(F.col("_key"), descending), *ties)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = keyed.withColumns({f"_c{v}": F.sum(v).over(inside) for v in inputs})
@@ -236,8 +253,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5) -> DataF
     long = df.select(F.explode(inside).alias("p")).select("p.*")
     counted = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
     summed = running_sum(
-        counted, "value", None, {"cum": F.col("n")}, by="feature",
-        splits=bucket_splits(long, "value"),
+        counted, "value", None, {"cum": F.col("n")}, by="feature"
     )
     reached = F.lit(False)
     for c in bracket:
@@ -265,7 +281,7 @@ def hash_cutoffs(
 
     Radix selection: every pass counts rows by the next bits of the hash, only among
     rows whose leading bits are still in question, until few enough remain to fetch.
-    Rank 0 gives None (nothing precedes it).
+    Rank 0 gives None (nothing precedes it). Null is a group like any other.
     """
     base = df.select(
         (F.col(by) if by else F.lit(0)).alias("_g"),
@@ -311,7 +327,10 @@ def hash_cutoffs(
         for row in sorted(rows, key=lambda r: (r["_h"], r["_t"])):
             members.setdefault((row["_g"], row["_h"] >> shift), []).append((row["_h"], row["_t"]))
         for key, (prefix, left, _) in open_.items():
-            found[key] = members[(key[0], prefix)][left - 1]
+            group = members[(key[0], prefix)]
+            if group.count(group[left - 1]) > 1:
+                raise ValueError("the tie-breaker must be unique")
+            found[key] = group[left - 1]
     return {
         group_of[g]: [found.get((g, r)) for r in ranks[group_of[g]]] for g in group_of
     }
@@ -320,13 +339,13 @@ def hash_cutoffs(
 def _in_prefix(open_: Mapping, shift: int) -> Column:
     """Rows of the groups and hash prefixes still in question."""
     if shift >= HASH_BITS:
-        return F.col("_g").isin(*{g for g, _ in open_})
+        return reduce(or_, [F.col("_g").eqNullSafe(F.lit(g)) for g in {g for g, _ in open_}])
     prefixes: dict = {}
     for (g, _), (prefix, _, _) in open_.items():
         prefixes.setdefault(g, set()).add(prefix)
     out = F.lit(False)
     for g, ps in prefixes.items():
-        out = out | ((F.col("_g") == F.lit(g)) & F.shiftright("_h", shift).isin(*ps))
+        out = out | (F.col("_g").eqNullSafe(F.lit(g)) & F.shiftright("_h", shift).isin(*ps))
     return out
 
 

@@ -387,6 +387,10 @@ SELECT id, {_r('p', 'probability')}, CAST(floor(p * 100) AS INTEGER) AS percent,
     "stream_score": ANSWERS,
     "global_rank_lineitem": f"""SELECT l_quantity, {_LINE_KEY},
   row_number() OVER (ORDER BY l_quantity, {_LINE_KEY}) AS rank FROM lineitem""",
+    "global_rank_text": """SELECT source, 'doc-' || doc_id AS name,
+  row_number() OVER (ORDER BY source NULLS FIRST, 'doc-' || doc_id) AS rank FROM documents""",
+    "global_rank_bigint": f"""SELECT 9007199254740992 + l_orderkey AS key, {_LINE_KEY},
+  row_number() OVER (ORDER BY 9007199254740992 + l_orderkey, {_LINE_KEY}) AS rank FROM lineitem""",
     "running_sum_events": """
 SELECT event_id, CAST(sum(cents) OVER (PARTITION BY event_type ORDER BY value DESC, event_id
     ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_cents,
@@ -402,6 +406,15 @@ FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events)""",
   row_number() OVER (PARTITION BY depression ORDER BY {_hash('42', 'id')}, id) AS rn,
   count(*) OVER (PARTITION BY depression) AS n FROM survey)
 SELECT id, depression, {_cut_folds('rn', 'n')} AS fold FROM t""",
+    "ordered_folds_text_id": f"""{SURVEY} SELECT CAST(id AS VARCHAR) AS id, CAST(row_number() OVER (
+  ORDER BY age NULLS FIRST, CAST(id AS VARCHAR)) % 5 AS INTEGER) AS fold FROM survey""",
+    "stratified_folds_many": f"""WITH t AS (SELECT o_orderkey, o_custkey,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY {_hash('42', 'o_orderkey')}, o_orderkey) AS rn,
+  count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_orderkey, o_custkey, {_cut_folds('rn', 'n')} AS fold FROM t""",
+    "class_weights_many": f"""SELECT o_orderkey, {_r(
+        'count(*) OVER () * 1e0 / ((SELECT count(DISTINCT o_custkey) FROM orders)'
+        ' * count(*) OVER (PARTITION BY o_custkey))', 'weight')} FROM orders""",
     "stratified_folds_toxic": f"""WITH t AS (SELECT doc_id, toxic,
   row_number() OVER (PARTITION BY toxic ORDER BY {_hash('42', 'doc_id')}, doc_id) AS rn,
   count(*) OVER (PARTITION BY toxic) AS n FROM labels)

@@ -408,6 +408,22 @@ def global_rank_lineitem(spark, sf_dir):
     return global_rank(line, "l_quantity", LINE_KEY)
 
 
+def global_rank_text(spark, sf_dir):
+    """A text key with few values, in the order of a text id."""
+    docs = _table(spark, sf_dir, "documents").select(
+        "source", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name")
+    )
+    return global_rank(docs, "source", "name")
+
+
+def global_rank_bigint(spark, sf_dir):
+    """Keys that differ by less than a double can tell."""
+    line = _table(spark, sf_dir, "lineitem").select(
+        (F.lit(1 << 53) + F.col("l_orderkey")).alias("key"), *LINE_KEY
+    )
+    return global_rank(line, "key", LINE_KEY)
+
+
 def running_sum_events(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     cents = F.round(F.col("value") * 100).cast("bigint")
@@ -431,6 +447,20 @@ def ordered_folds_lineitem(spark, sf_dir):
     return ordered_folds(line, "l_quantity", LINE_KEY).select(*LINE_KEY, "fold")
 
 
+def ordered_folds_text_id(spark, sf_dir):
+    """Folds of a survey as it is read from a file, where ids are text."""
+    back = read_survey(spark, _raw_file(spark, sf_dir, ";"))
+    return ordered_folds(back, "Age", "id").select("id", "fold")
+
+
+def stratified_folds_many(spark, sf_dir):
+    """More classes than literals are made for."""
+    orders = _table(spark, sf_dir, "orders")
+    return stratified_folds(orders, "o_custkey", id="o_orderkey").select(
+        "o_orderkey", "o_custkey", "fold"
+    )
+
+
 def stratified_folds_query(spark, sf_dir):
     return stratified_folds(survey(spark, sf_dir), C.LABEL).select("id", C.LABEL, "fold")
 
@@ -461,6 +491,11 @@ def class_weights_toxic(spark, sf_dir):
     return _round(class_weights(labels, "toxic").select("doc_id", "toxic", "weight"), "weight")
 
 
+def class_weights_many(spark, sf_dir):
+    weighted = class_weights(_table(spark, sf_dir, "orders"), "o_custkey")
+    return _round(weighted.select("o_orderkey", "weight"), "weight")
+
+
 # --- nearest neighbours ---------------------------------------------------------------
 
 
@@ -692,16 +727,21 @@ QUERIES: dict[str, Query] = {
     "score_requests": score_requests_query,
     "stream_score": stream_score,
     "global_rank_lineitem": global_rank_lineitem,
+    "global_rank_text": global_rank_text,
+    "global_rank_bigint": global_rank_bigint,
     "running_sum_events": running_sum_events,
     "random_folds": random_folds_query,
     "ordered_folds": ordered_folds_query,
     "ordered_folds_lineitem": ordered_folds_lineitem,
+    "ordered_folds_text_id": ordered_folds_text_id,
     "stratified_folds": stratified_folds_query,
+    "stratified_folds_many": stratified_folds_many,
     "stratified_folds_toxic": stratified_folds_toxic,
     "gaussian_jitter": gaussian_jitter_query,
     "flip_labels": flip_labels_query,
     "class_weights": class_weights_query,
     "class_weights_toxic": class_weights_toxic,
+    "class_weights_many": class_weights_many,
     "knn_join": knn_join_query,
     "knn_join_blocked": knn_join_blocked,
     "knn_classify": knn_classify_query,

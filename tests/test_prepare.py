@@ -100,7 +100,46 @@ def test_global_rank_with_a_heavy_key(spark, partitions):
 
 def test_heavy_key_is_cut_by_the_tie_breaker(spark):
     splits = bucket_splits(_heavy(spark), "k", "id", buckets=16)
-    assert splits.heavy and len(splits.tie) >= 8
+    assert sum(k == 7.0 for k, _ in splits.bounds) >= 4
+
+
+_KEYS = {
+    "text": "format_string('http://site.example/%04d', id * 37 % 211)",
+    "uuid": "md5(string(id))",
+    "bigint": "9007199254740992 - 50 + id % 101",
+    "decimal": "cast(id % 97 as decimal(30,12)) + 0.000000000001 * (id % 7)",
+    "timestamp": "timestamp_micros(1700000000000000 + id % 13)",
+    "date": "date_add(date '2020-01-01', int(id % 50))",
+    "boolean": "id % 3 = 0",
+}
+
+
+@pytest.mark.parametrize("kind", _KEYS)
+def test_rank_of_any_sortable_key_ignores_buckets_and_layout(spark, kind):
+    key = F.when(F.col("id") % 29 != 0, F.expr(_KEYS[kind]))
+    tie = F.concat(F.lit("id-"), F.col("id").cast("string"))
+    df = spark.range(400).select(tie.alias("id"), key.alias("k"))
+    rows = sorted(((r.k is not None, r.k), r.id) for r in df.collect() if r.k is not None)
+    rows = [i for i in sorted(r.id for r in df.collect() if r.k is None)] + [i for _, i in rows]
+    want = {i: n + 1 for n, i in enumerate(rows)}
+    for buckets, partitions in ((2, 1), (8, 16), (32, 1), (None, 16)):
+        ranked = global_rank(df.repartition(partitions), "k", "id", buckets=buckets)
+        assert {r.id: r["rank"] for r in ranked.collect()} == want
+
+
+def test_descending_text_rank(spark):
+    df = spark.range(300).select("id", F.md5((F.col("id") % 70).cast("string")).alias("k"))
+    rows = sorted(df.collect(), key=lambda r: r.id)
+    rows.sort(key=lambda r: r.k, reverse=True)
+    ranked = global_rank(df, "k", "id", descending=True, buckets=16).collect()
+    assert {r.id: r["rank"] for r in ranked} == {r.id: n + 1 for n, r in enumerate(rows)}
+
+
+def test_buckets_stay_even_when_few_keys_are_collapsed(spark):
+    ties = spark.range(2000).select(F.lit(0.0).alias("k"))
+    some = spark.range(20).select((F.col("id") / 20.0 + 0.01).alias("k"))
+    rows = ties.union(some).groupBy("k").agg(F.count("*").alias("n"))
+    assert len(bucket_splits(rows, "k", buckets=8).bounds) == 7
 
 
 def test_running_sum_by_group_and_null_group(spark):
@@ -156,6 +195,12 @@ def test_hash_cutoffs_with_equal_hashes(spark):
     assert hash_cutoffs(df, F.col("h"), "id", {None: [13]})[None] == [(5, 12)]
 
 
+def test_hash_cutoffs_refuse_a_repeated_tie_breaker(spark):
+    df = spark.range(40).select((F.col("id") % 20).alias("id"), (F.col("id") % 20).alias("h"))
+    with pytest.raises(ValueError, match="unique"):
+        hash_cutoffs(df, F.col("h"), "id", {None: [13]})
+
+
 def _sizes(df, *by):
     return [r["count"] for r in df.groupBy(*by).count().collect()]
 
@@ -185,7 +230,10 @@ def test_stratified_folds_are_even_per_class(spark):
 def test_stratified_folds_with_many_classes_agree(spark, monkeypatch):
     from riskflow.operators import ranking
 
-    df = _heavy(spark, 300)
+    # Text ids, and a label that is null in places: both ways treat them alike.
+    df = _heavy(spark, 300).select(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.when(F.col("g") > 0, F.col("g")).alias("g")
+    )
     few = {r.id: r.fold for r in stratified_folds(df, "g").collect()}
     monkeypatch.setattr(ranking, "_MAX_GROUPS", 2)
     many = {r.id: r.fold for r in stratified_folds(df, "g").collect()}
@@ -231,13 +279,15 @@ def test_class_weights_sum_to_n(spark):
     assert {(r.y, round(r.weight, 6)) for r in out.collect()} == {(1, 5.0), (0, 0.555556)}
 
 
-def test_class_weights_by_join_agree(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1, 256])
+def test_class_weights_agree_and_skip_null_labels(spark, monkeypatch, most):
     from riskflow.operators import ranking
 
-    monkeypatch.setattr(ranking, "_MAX_GROUPS", 1)
-    df = spark.range(100).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
-    got = {(r.y, round(r.weight, 6)) for r in class_weights(df, "y").collect()}
-    assert got == {(1, 5.0), (0, 0.555556)}
+    monkeypatch.setattr(ranking, "_MAX_GROUPS", most)
+    y = F.when(F.col("id") < 100, (F.col("id") % 10 == 0).cast("int"))
+    rows = class_weights(spark.range(105).withColumn("y", y), "y").collect()
+    got = {(r.y, r.weight and round(r.weight, 6)) for r in rows}
+    assert len(rows) == 105 and got == {(1, 5.0), (0, 0.555556), (None, None)}
 
 
 def test_noise_distribution(spark):
