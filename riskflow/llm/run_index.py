@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -243,29 +244,69 @@ def _whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[p
 _PLACE = "k1 long, k2 long, first long, n long"
 
 
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stream sorted segments: all but the first of equal ones become kind 0, the first 1 or 2.
+
+    Only the last row is held back, until the next frame tells whether it has copies.
+    """
+    last, inside = None, False
+    for pdf in chain(batches, [None]):
+        if pdf is not None:
+            settled = (pdf["kind"] == 0).to_numpy()
+            if settled.any():
+                yield pdf[settled]
+            pdf = pdf[~settled]
+            if not len(pdf):
+                continue
+        rows = pd.concat([x for x in (last, pdf) if x is not None] or [pd.DataFrame()], ignore_index=True)
+        if not len(rows):
+            continue
+        new = np.zeros(len(rows) + 1, dtype=bool)
+        new[_runs(*[rows[c].to_numpy() for c in ("h", "f1", "f2")])] = True
+        new[0], new[-1] = not inside, True
+        again = ~new[1:] | (rows["kind"].to_numpy() == 2)
+        rows["kind"] = np.where(new[:-1], np.where(again, 2, 1), 0)
+        upto = len(rows) if pdf is None else len(rows) - 1
+        if upto:
+            yield rows.iloc[:upto]
+        if pdf is not None:
+            last, inside = pdf.iloc[-1:], not new[-2]
+
+
 def _sort_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Give segments of one picked hash their kind.
 
-    0: its windows are repeated, 1: to index, 2: reference for others, 3 and 4: the same
-    where very many differ. Rows that come with kind 0 pass through.
+    0: its windows are repeated, 1: to index, 2: repeated and a reference for others, 3 and
+    4: the same where very many differ. Segments without another of their hash are left out.
+    At most ``MANY`` rows of a hash are held; from there on its rows are passed on at once.
     """
     columns = ["h", "k1", "k2", "first", "n", "kind"]
-    for pdf in _whole_groups(batches, ["h"]):
-        yield pdf.loc[pdf["kind"] == 0, columns]
-        pdf = pdf[pdf["kind"] != 0]
+    held, hot = None, None
+    for pdf in _settle(batches):
+        pdf = pdf[columns]
+        yield pdf[pdf["kind"] == 0]
+        pdf = pdf[pdf["kind"] > 0]
+        if hot is not None and len(pdf):
+            passed = (pdf["h"] == hot).to_numpy()
+            yield pdf[passed].assign(kind=pdf.loc[passed, "kind"] + 2)
+            pdf = pdf[~passed]
         if not len(pdf):
             continue
-        h, f1, f2 = (pdf[c].to_numpy() for c in ("h", "f1", "f2"))
-        group, same = _runs(h), _runs(h, f1, f2)
-        copies = np.diff(np.concatenate([same, [len(h)]]))
-        again = np.maximum.reduceat(pdf["kind"].to_numpy() == 2, same) | (copies > 1)
-        home = np.searchsorted(group, same, side="right") - 1
-        kinds = np.bincount(home, minlength=len(group))
-        several, many = kinds[home] > 1, kinds[home] > MANY
-        kind = np.where(several, np.where(many, 3, 1), -1)
-        one = pdf.iloc[same].assign(kind=np.where(again & several, np.where(many, 4, 2), kind))
-        out = [pdf.assign(kind=0)[np.repeat(again, copies)], one[one["kind"] > 0]]
-        yield pd.concat(out, ignore_index=True)[columns]
+        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        group = _runs(rows["h"].to_numpy())
+        sizes = np.diff(np.concatenate([group, [len(rows)]]))
+        hot = rows["h"].iloc[-1] if sizes[-1] > MANY else None
+        upto = len(rows) if hot is not None else int(group[-1])
+        yield _labelled(rows, sizes).iloc[:upto].query("kind >= 0")
+        held = rows.iloc[upto:] if upto < len(rows) else None
+    if held is not None:
+        yield _labelled(held, np.array([len(held)])).query("kind >= 0")
+
+
+def _labelled(rows: pd.DataFrame, sizes: np.ndarray) -> pd.DataFrame:
+    kinds, kind = np.repeat(sizes, sizes), rows["kind"].to_numpy()
+    alone = np.where(kind == 2, 0, -1)
+    return rows.assign(kind=np.where(kinds == 1, alone, np.where(kinds > MANY, kind + 2, kind)))
 
 
 def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -381,7 +422,7 @@ def repeated_marks(texts: DataFrame, often: DataFrame, length: int = LENGTH, gra
             )
         )
         fetched = stage(fetched, "runs-fetched")
-        marks = found.where("kind = 0 and copied is null").select("k1", "k2", "first", "n")
+        marks = found.where("kind in (0, 2, 4) and copied is null").select("k1", "k2", "first", "n")
         indexed = fetched.where("kind <= 2").repartition("h").sortWithinPartitions("h")
         marks = marks.unionByName(stage(indexed.mapInPandas(_index_batches(length), _PLACE), "runs-marks"))
         hot = fetched.where("kind > 2")

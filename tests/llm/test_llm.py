@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -332,3 +333,27 @@ def test_pipeline_stages_chain(spark, small_dir):
         else:
             assert docs.columns == columns, name
     assert docs.columns == [*columns, "shard", "slot"] and 0 < docs.count() <= 3 * rows
+
+
+def test_segments_are_sorted_out_alike_at_any_frame_size(monkeypatch):
+    monkeypatch.setattr(run_index, "MANY", 5)
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({
+        "h": rng.integers(0, 12, 300) ** 2 // 12, "f1": rng.integers(0, 9, 300), "f2": 0, "k1": np.arange(300),
+        "k2": 0, "first": 0, "n": 1, "kind": rng.choice([0, 1, 1, 2], 300),
+    }).sort_values(["h", "f1", "f2"], kind="stable").reset_index(drop=True)
+
+    def run(size):
+        frames = (rows.iloc[i:i + size] for i in range(0, len(rows), size))
+        out = pd.concat(list(run_index._sort_out(frames)))
+        return sorted(zip(out["k1"].astype(int), out["kind"].astype(int)))
+
+    open_ = rows[rows["kind"] > 0]
+    kinds = open_.groupby("h")["f1"].nunique()
+    want = [(r.k1, 0) for r in rows[rows["kind"] == 0].itertuples()]
+    for (h, _), group in open_.groupby(["h", "f1"]):
+        again = len(group) > 1 or (group["kind"] == 2).any()
+        first = 0 if kinds[h] == 1 else (4 if again else 3) if kinds[h] > 5 else 2 if again else 1
+        if again or kinds[h] > 1:
+            want += [(group["k1"].iloc[0], first), *((k, 0) for k in group["k1"].iloc[1:])]
+    assert all(run(size) == sorted(want) for size in (1, 2, 7, 40, 300))
