@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.llm.common import col, held_out, hidden, small_batches
@@ -262,12 +262,20 @@ def learn(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_co
         labels.where(col(label_col).isNotNull()).groupBy(col(id_col).alias("i"))
         .agg((F.avg(col(label_col)) >= 0.5).cast("int").alias("y"))
     )
-    rows = (
-        df.where(~held_out(col(id_col))).select(col(id_col).alias("i"), col(text_col).alias("t"))
-        .join(truth, "i").select("t", "y")
-    )
     decoder = Decoder(costs)
 
+    @F.pandas_udf("string")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series([" ".join(sorted(set(decoder.restore(t).split()))) for t in texts], dtype=object)
+
+    # Texts are shuffled and restored once; features need only a text's distinct tokens.
+    with small_batches(spark, 2048):
+        rows = stage(
+            df.where(~held_out(col(id_col))).select(col(id_col).alias("i"), col(text_col).alias("t"))
+            .join(truth, "i").select(tokens("t").alias("t"), "y"),
+            "toxicity-train",
+        )
+
     def count(wanted: frozenset | None):
         finder = Finder(wanted)
 
@@ -275,7 +283,7 @@ def learn(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_co
             for pdf in batches:
                 seen: Counter = Counter()
                 for text in pdf["t"]:
-                    seen.update(finder.find(decoder.restore(text)))
+                    seen.update(finder.find(text))
                 yield pd.DataFrame({"f": list(seen.keys()), "n": list(seen.values())})
         return run
 
@@ -293,8 +301,8 @@ def learn(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_co
         toxic = {r.f: r.n for r in toxic.orderBy(F.desc("n"), "f").limit(MAX_FEATURES).collect()}
         clean = {r.f: r.n for r in counted(0, frozenset(toxic)).collect()}  # at most MAX_FEATURES rows
         weights = choose(toxic, clean, n_toxic, n_clean)
-        weights = fit_weights(rows, weights, decoder)
-        scored = add_sums(rows, "t", "s", {"weights": weights}, costs)
+        weights = fit_weights(rows, weights)
+        scored = rows.select("y", weigher(weights)("t").alias("s"))
         bins = scored.groupBy(F.round("s", 1).alias("s"), "y").agg(F.count("*").alias("n"))
         a, b = fit_curve(bins.toPandas())
     return {"weights": weights, "a": a, "b": b}
@@ -322,8 +330,8 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     return {f: float(w) for f, w, k in zip(names, odds, keep) if k}
 
 
-def fit_weights(rows: DataFrame, candidates: dict[str, float], decoder: Decoder) -> dict[str, float]:
-    """Lasso logistic weights of the candidate features.
+def fit_weights(rows: DataFrame, candidates: dict[str, float]) -> dict[str, float]:
+    """Lasso logistic weights of the candidate features, from restored texts.
 
     Rows are first counted by their set of features, so copies of a text are one example.
     At most ``FIT_ROWS`` distinct sets, in hash order, are fitted on the driver.
@@ -332,7 +340,7 @@ def fit_weights(rows: DataFrame, candidates: dict[str, float], decoder: Decoder)
 
     @F.pandas_udf("array<string>")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(finder.find(decoder.restore(t))) for t in texts], dtype=object)
+        return pd.Series([sorted(finder.find(t)) for t in texts], dtype=object)
 
     sets = (
         rows.select(found("t").alias("fs"), "y").groupBy("fs", "y").agg(F.count("*").alias("n"))
@@ -387,22 +395,26 @@ def fit_curve(bins: pd.DataFrame) -> tuple[float, float]:
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def add_sums(df: DataFrame, text_col: str, out: str, model: dict, costs: np.ndarray) -> DataFrame:
-    """Add the sum of the weights of a restored text's features."""
-    weights, decoder = model["weights"], Decoder(costs)
+def weigher(weights: dict[str, float], decoder: Decoder | None = None) -> Callable[[str], Column]:
+    """A column function: the sum of the weights of a text's features, restored if a decoder is given."""
     finder = Finder(frozenset(weights))
 
     def score(text: str | None) -> float:
         if not text:
             return 0.0
-        found = finder.find(decoder.restore(text))
+        found = finder.find(decoder.restore(text) if decoder else text)
         return sum(sorted(weights[f] for f in found))
 
     @F.pandas_udf("double")
     def sums(texts: pd.Series) -> pd.Series:
         return pd.Series([score(t) for t in texts], dtype="float64")
 
-    return df.withColumn(out, sums(col(text_col)))
+    return sums
+
+
+def add_sums(df: DataFrame, text_col: str, out: str, model: dict, costs: np.ndarray) -> DataFrame:
+    """Add the sum of the weights of a restored text's features."""
+    return df.withColumn(out, weigher(model["weights"], Decoder(costs))(col(text_col)))
 
 
 def restore_texts(df: DataFrame, text_col: str, out: str, costs: np.ndarray) -> DataFrame:
