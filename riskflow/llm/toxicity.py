@@ -270,10 +270,10 @@ def learn(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_co
 
     # Texts are shuffled and restored once; features need only a text's distinct tokens.
     # The join is the same at every size: labels grow with the texts and are not broadcast.
-    with small_batches(spark, 2048):
+    with small_batches(spark):
         rows = stage(
             df.where(~held_out(col(id_col))).select(col(id_col).alias("i"), col(text_col).alias("t"))
-            .join(truth.hint("shuffle_hash"), "i").select(tokens("t").alias("t"), "y"),
+            .join(truth.hint("merge"), "i").select(tokens("t").alias("t"), "y"),
             "toxicity-train",
         )
 
