@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from riskflow.llm import decontaminate, language_gru, mixing, multi_index, quality_rules, run_index, sharding, simhash, toxicity, warc
+from pyspark.sql import functions as F
+
+from riskflow.llm import (
+    decontaminate, hard_negatives, language_gru, lexical, mixing, multi_index, packing, quality_rules, run_index,
+    sharding, simhash, toxicity, warc,
+)
 from riskflow.llm.common import table
 
 
@@ -49,6 +54,21 @@ def op9_shard(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_pack(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 100 == 0
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -60,5 +80,12 @@ QUERIES = {
     "op8_neighbors": op8_neighbors,
     "op9_shard": op9_shard,
     "op10_decontaminate": op10_decontaminate,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_pack": op12_pack,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
-ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE}
