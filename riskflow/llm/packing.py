@@ -224,7 +224,9 @@ def lay_out(
             used = Sequences(n, group.left - each * need, [*group.holds, (length, rank, each, offset)])
             rest, rank = rest - n * each, rank + n * each
             if known:
+                # Those split off take the first pieces of each length, the others the rest.
                 group.n -= n
+                group.holds = [(size, r + e * n, e, o) for size, r, e, o in group.holds]
                 if not group.n:
                     del open_[best]
                     left = np.delete(left, best, axis=0)
