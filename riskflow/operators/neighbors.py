@@ -6,17 +6,21 @@ ties broken by the smaller base id. Two physical forms give that same answer.
 ``broadcast``: the base side, measured and found small, is sent to every task and the
 query side is streamed past it; only the query rows are spread over the cores.
 
-``blocked``: for a base side of any size. Base vectors are assigned to their nearest
-pivot and cut, by distance to the pivot, into blocks of bounded size. Every query first
-searches the one block nearest to it, which bounds its k-th distance; the triangle
-inequality then tells which other blocks can still hold a neighbour, and only those are
-visited. A task holds one block and one bounded chunk of the queries that visit it, so a
-popular block is spread over many tasks, and each task returns at most k rows per query.
+``blocked``: for a base side of any size. Base vectors are assigned to the cell of their
+nearest pivot and cut, by distance to the pivot, into blocks of bounded bytes. Every query
+first searches the one block nearest to it, which bounds its k-th distance. Then it goes
+through the cells in rounds, best first, a few at a time; before each round the bound is
+tightened by what was found, and the triangle inequality tells which cells, and which
+blocks of a cell, can still hold a neighbour. Only the pivots are held by every task; the
+list of blocks is a table that queries meet by cell, so it may grow with the data. A task
+holds one block and one bounded chunk of the queries that visit it, so a popular block is
+spread over many tasks, and each task returns at most k rows per query.
+
+``approx_knn_join`` measures only rows that share a bucket of random projections.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,15 +35,22 @@ from riskflow.workspace import stage
 
 # Largest base side, in numbers, that is sent to every task (64 MB of doubles).
 BROADCAST_NUMBERS = 8_000_000
-# The block index is held by every task; its size is bounded by these.
-MAX_BLOCKS = 32_768
+# Bytes of vectors in a block, and pivots, which every task holds.
+BLOCK_BYTES = 4 << 20
 MAX_PIVOTS = 256
+# Cells that a query goes through in one round, at most; rounds begin with one and double.
+ROUND_CELLS = 64
 _TILE_QUERIES = 256
 _TILE_BASE = 4096
 _SCALE = 1e9
 # Bounds are loosened by more than floating-point rounding can tighten them.
 _ROUNDING = 1e-12
 _SLACK = 1e-9
+# Rows that the bucket width of the approximate join is fitted on, and queries among them.
+FIT_ROWS, FIT_QUERIES = 2_048, 256
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+# Share of the true neighbours in that sample that the fitted buckets must return.
+COVER = 0.97
 
 
 def _vector_of(df: DataFrame, features: str | Sequence[str]):
@@ -171,7 +182,7 @@ def knn_join(
     exclude: str | None = None,
     carry: Sequence[str] = (),
     mode: str = "auto",
-    block_rows: int = 1024,
+    block_rows: int | None = None,
     query_rows: int = 8192,
 ) -> DataFrame:
     """The k nearest base rows of every query row: ``query_id, base_id, rank, distance``.
@@ -179,7 +190,9 @@ def knn_join(
     ``features`` is a list of numeric columns or one array column. Pairs with equal
     ``exclude`` values are skipped (a fold column, or the id itself). ``carry`` copies
     base columns to the output. ``mode`` is ``broadcast``, ``blocked`` or ``auto``, which
-    counts the base side and broadcasts it only below ``BROADCAST_NUMBERS``.
+    counts the base side and broadcasts it only below ``BROADCAST_NUMBERS``; ``broadcast``
+    asks for that form and raises above twice that size. ``block_rows`` overrides the size of
+    a block, which is ``BLOCK_BYTES`` of vectors.
     """
     group = F.col(exclude) if exclude else F.lit(None).cast("int")
     q = query.select(
@@ -191,10 +204,13 @@ def knn_join(
     )
     payload = [T.StructField(f"_carry_{c}", base.schema[c].dataType) for c in carry]
     schema = _output_schema(query.schema[id].dataType, base.schema[id].dataType, payload)
-    if mode == "auto":
+    if mode in ("auto", "broadcast"):
         size = b.agg(F.count("*").alias("n"), F.max(F.size("_vec")).alias("d")).collect()[0]
-        small = size["n"] * (size["d"] or 1) <= BROADCAST_NUMBERS
-        mode = "broadcast" if small else "blocked"
+        numbers = size["n"] * (size["d"] or 1)
+        if mode == "broadcast" and numbers > 2 * BROADCAST_NUMBERS:
+            raise ValueError(f"a base side of {numbers} numbers is not sent to every task")
+        if mode == "auto":
+            mode = "broadcast" if numbers <= BROADCAST_NUMBERS else "blocked"
     if mode == "broadcast":
         pairs = _broadcast_join(q, b, k, exclude is not None, schema)
     elif mode == "blocked":
@@ -287,51 +303,51 @@ def _blocked_join(
     k: int,
     grouped: bool,
     schema: T.StructType,
-    block_rows: int,
+    block_rows: int | None,
     query_rows: int,
 ) -> DataFrame:
     spark = q.sparkSession
     b = stage(b, "knn-base")
-    n = b.count()
+    shape = b.agg(F.count("*").alias("n"), F.max(F.size("_vec")).alias("d")).collect()[0]
+    n = shape["n"]
     if n == 0:
         return spark.createDataFrame(
             [], T.StructType([*schema.fields, T.StructField("_rank", T.LongType())])
         )
-    block_rows = max(block_rows, math.ceil(2 * n / MAX_BLOCKS))
-    wanted = min(MAX_PIVOTS, max(1, n // block_rows), MAX_BLOCKS // 2)
-    pivots = _pick_pivots(b, wanted)
+    block_rows = block_rows or max(256, BLOCK_BYTES // (8 * max(shape["d"], 1)))
+    pivots = _pick_pivots(b, min(MAX_PIVOTS, max(1, n // block_rows)))
 
     def nearest(batch: pd.DataFrame) -> pd.DataFrame:
         gaps = _to_pivots(_matrix(batch["_vec"]), pivots)
         cell = gaps.argmin(axis=1)
-        return batch.assign(_cell=cell.astype("int32"), _gap=gaps[np.arange(len(cell)), cell])
+        return batch.assign(_cell=cell.astype("int64"), _gap=gaps[np.arange(len(cell)), cell])
 
-    placed = stage(_add_columns(b, "_cell int, _gap double", nearest), "knn-placed")
+    placed = stage(_add_columns(b, "_cell long, _gap double", nearest), "knn-placed")
     placed = placed.withColumn("_tie", F.xxhash64("_id"))
     ranked = global_rank(placed, "_gap", "_tie", by="_cell", out="_pos", size="_size")
     in_cell = F.ceil(F.col("_size") / F.lit(block_rows))
     part = F.floor((F.col("_pos") - 1) * in_cell / F.col("_size"))
     blocks = stage(
-        ranked.withColumn("_block", F.col("_cell") * F.lit(MAX_BLOCKS) + part.cast("int")).drop(
+        ranked.withColumn("_block", F.shiftleft("_cell", 40) + part).drop(
             "_pos", "_size", "_tie"
         ),
         "knn-blocks",
     )
-    # At most n / block_rows + pivots rows, which MAX_BLOCKS bounds.
-    index = (
-        blocks.groupBy("_block", "_cell")
-        .agg(F.min("_gap").alias("low"), F.max("_gap").alias("high"), F.count("*").alias("n"))
-        .orderBy("_block")
-        .toPandas()
+    rings = stage(
+        blocks.groupBy("_cell", "_block").agg(
+            F.min("_gap").alias("_low"), F.max("_gap").alias("_high"), F.count("*").alias("_n")
+        ),
+        "knn-rings",
     )
-    block_id = index["_block"].to_numpy()
-    cell = index["_cell"].to_numpy()
-    low, high = index["low"].to_numpy(), index["high"].to_numpy()
-    roomy = index["n"].to_numpy() >= min(2 * k, n)
+    cells = (
+        rings.groupBy("_cell").agg(F.min("_low").alias("low"), F.max("_high").alias("high"))
+        .orderBy("_cell").toPandas()
+    )  # at most MAX_PIVOTS rows
+    cell, low, high = (cells[c].to_numpy() for c in ("_cell", "low", "high"))
     between = _to_pivots(pivots, pivots)
 
-    def bounds(vectors: np.ndarray) -> np.ndarray:
-        """Least possible distance from each query to each block."""
+    def floors(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least possible distance from each query to each cell, and its distance to the pivot."""
         gaps = _to_pivots(vectors, pivots)
         here = gaps[:, cell]
         ring = np.maximum(low[None, :] - here, here - high[None, :]) - _ROUNDING * (
@@ -344,50 +360,116 @@ def _blocked_join(
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = (here**2 * (1 - _ROUNDING) - closest[:, None] ** 2) / (2 * apart)
         plane = np.where(apart > 0, plane, 0.0)
-        return np.maximum(np.maximum(ring, plane), 0.0)
-
-    def go_home(batch: pd.DataFrame) -> pd.DataFrame:
-        vectors = _matrix(batch["_vec"])
-        home = np.empty(len(vectors), dtype=np.int64)
-        for i in range(0, len(vectors), _TILE_QUERIES):
-            least = bounds(vectors[i : i + _TILE_QUERIES])
-            if roomy.any():
-                least = np.where(roomy[None, :], least, np.inf)
-            home[i : i + _TILE_QUERIES] = least.argmin(axis=1)
-        return batch.assign(_block=block_id[home].astype("int32"))
-
-    homes = stage(_add_columns(q, "_block int", go_home), "knn-home")
-    unbounded = homes.withColumn("_d", F.lit(None).cast("double"))
-    first = stage(_visit(unbounded, blocks, k, grouped, schema, query_rows), "knn-first")
-    # A full set of k at home bounds the k-th distance; otherwise there is no bound.
-    reach = first.groupBy(F.col("query_id").alias("_id")).agg(
-        F.when(F.count("*") >= k, F.max("_d")).alias("_d")
-    )
-    bounded = homes.join(reach, "_id", "left")
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            vectors = _matrix(batch["_vec"])
-            reach_d = batch["_d"].to_numpy(dtype=np.float64, na_value=np.nan)
-            radius = np.sqrt(np.where(np.isnan(reach_d), np.inf, reach_d + 1.0) / _SCALE)
-            home = batch["_block"].to_numpy()
-            for i in range(0, len(vectors), _TILE_QUERIES):
-                stop = i + _TILE_QUERIES
-                limit = radius[i:stop] * (1 + _SLACK) + _SLACK
-                near = bounds(vectors[i:stop]) <= limit[:, None]
-                near &= block_id[None, :] != home[i:stop, None]
-                rows, cols = np.nonzero(near)
-                if len(rows):
-                    yield batch.iloc[rows + i].assign(
-                        _block=block_id[cols].astype("int32")
+        return np.maximum(np.maximum(ring, plane), 0.0), here
+
+    def go(first: int, stop: int):
+        """Emit the queries with the cells at these places of their own order, if in reach."""
+
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            radius = _radius(batch["_d"])
+            vectors, found = _matrix(batch["_vec"]), []
+            for i in range(0, len(batch), _TILE_QUERIES):
+                least, here = floors(vectors[i : i + _TILE_QUERIES])
+                order = np.argsort(least, axis=1, kind="stable")[:, first:stop]
+                bound = np.take_along_axis(least, order, axis=1)
+                rows, place = np.nonzero(bound <= radius[i : i + _TILE_QUERIES, None])
+                at = order[rows, place]
+                found.append(
+                    batch.iloc[rows + i].assign(
+                        _cell=cell[at], _gap=here[rows, at], _floor=least[rows, at]
                     )
+                )
+            return pd.concat(found)
+
+        return run
+
+    fields = ["_id", "_group", "_vec", "_d", "_home"]
+    at_cell = "_cell long, _gap double, _floor double"
+
+    def meet_rings(visits: DataFrame, home: bool) -> DataFrame:
+        """The blocks of each visited cell that are in reach; at home, only the nearest one."""
+        shape = T.StructType([*visits.select(*fields).schema.fields, T.StructField("_block", T.LongType())])
+
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            block, count = right["_block"].to_numpy(), right["_n"].to_numpy()
+            near, far = right["_low"].to_numpy(), right["_high"].to_numpy()
+            radius, found = _radius(left["_d"]), []
+            for i in range(0, len(left), _TILE_QUERIES):
+                some = left.iloc[i : i + _TILE_QUERIES]
+                gap = some["_gap"].to_numpy()[:, None]
+                least = np.maximum(near[None] - gap, gap - far[None]) - _ROUNDING * (gap + far[None])
+                if home:
+                    roomy = count >= min(2 * k, count.max())
+                    rows = np.arange(len(some))
+                    cols = np.where(roomy[None], least, np.inf).argmin(axis=1)
+                else:
+                    kept = least <= radius[i : i + _TILE_QUERIES, None]
+                    rows, cols = np.nonzero(kept & (block[None] != some["_home"].to_numpy()[:, None]))
+                found.append(some.iloc[rows][fields].assign(_block=block[cols]))
+            return pd.concat(found)
+
+        return _meet(visits, rings, ["_cell"], run, shape, query_rows)
+
+    start = q.withColumns({"_d": F.lit(None).cast("double"), "_home": F.lit(-1).cast("long")})
+    homes = stage(
+        meet_rings(_add_columns(start, at_cell, go(0, 1)), home=True).withColumn(
+            "_home", F.col("_block")
+        ),
+        "knn-home",
+    )
+    best = stage(_visit(homes, blocks, k, grouped, schema, query_rows), "knn-first")
+    order = Window.partitionBy("query_id").orderBy("_d", "base_id")
+    first, width = 0, 1
+    # With one block in all, every query has seen it.
+    while first < len(cell) and rings.limit(2).count() > 1:
+        # A full set of k bounds the k-th distance; otherwise there is no bound.
+        reach = best.groupBy(F.col("query_id").alias("_id")).agg(
+            F.when(F.count("*") >= k, F.max("_d")).alias("_d")
+        )
+        bounded = homes.drop("_d", "_block").join(reach, "_id", "left").select(*fields)
+        going = _add_columns(bounded, at_cell, go(first, first + width))
+        visits = stage(meet_rings(going, home=False), "knn-visits")
+        if visits.isEmpty() and going.isEmpty():
+            break  # cells come best first, so none of the others is in reach either
+        more = _visit(visits, blocks, k, grouped, schema, query_rows)
+        best = stage(
+            best.unionByName(more).withColumn("_rank", F.row_number().over(order))
+            .filter(F.col("_rank") <= k).drop("_rank"),
+            "knn-best",
+        )
+        first, width = first + width, min(2 * width, ROUND_CELLS)
+    return best.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
+
+
+def _radius(reach: pd.Series) -> np.ndarray:
+    """Distance within which a query can still find a neighbour, with room for rounding."""
+    d = reach.to_numpy(dtype=np.float64, na_value=np.nan)
+    return np.sqrt(np.where(np.isnan(d), np.inf, d + 1.0) / _SCALE) * (1 + _SLACK) + _SLACK
+
+
+def _meet(
+    left: DataFrame, right: DataFrame, keys: list[str], run, schema: T.StructType, left_rows: int
+) -> DataFrame:
+    """``run`` with each chunk of about ``left_rows`` rows of a key and all its ``right`` rows."""
+    chunks = left.groupBy(*keys).agg(
+        F.ceil(F.count("*") / F.lit(left_rows)).cast("int").alias("_chunks")
+    )
+    asked = left.join(chunks, keys).withColumn(
+        "_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int")
+    )
+    copies = right.join(chunks, keys).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+    )
+
+    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
+        return run(a, b)[schema.names]
 
-    others = stage(bounded.mapInPandas(spread, bounded.schema), "knn-visits")
-    second = _visit(others, blocks, k, grouped, schema, query_rows)
-    best = Window.partitionBy("query_id").orderBy("_d", "base_id")
     return (
-        first.unionByName(second)
-        .withColumn("_rank", F.row_number().over(best))
-        .filter(F.col("_rank") <= k)
+        asked.drop("_chunks").groupBy(*keys, "_chunk")
+        .cogroup(copies.drop("_chunks").groupBy(*keys, "_chunk"))
+        .applyInPandas(both, schema)
     )
 
 
@@ -396,20 +478,8 @@ def _visit(
     query_rows: int,
 ) -> DataFrame:
     """Search each visited block for its queries, ``query_rows`` of them per task."""
-    # One row per block, so at most MAX_BLOCKS + MAX_PIVOTS rows.
-    chunks = visits.groupBy("_block").agg(
-        F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("_chunks")
-    )
-    asked = visits.join(F.broadcast(chunks), "_block").withColumn(
-        "_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int")
-    )
-    copies = blocks.join(F.broadcast(chunks), "_block").withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({f.name: [] for f in schema.fields})
         found = _search(
             _matrix(left["_vec"]), left["_group"].to_numpy() if grouped else None,
             _matrix(right["_vec"]), right["_id"].to_numpy(),
@@ -418,12 +488,147 @@ def _visit(
         )
         return _pairs_frame(schema, left["_id"].to_numpy(), right, *found, rank=False)
 
-    keys = ["_block", "_chunk"]
-    return (
-        asked.drop("_chunks").groupBy(*keys)
-        .cogroup(copies.drop("_chunks").groupBy(*keys))
-        .applyInPandas(search, schema)
+    return _meet(visits, blocks, ["_block"], search, schema, query_rows)
+
+
+class _Hashes:
+    """Random projections cut into steps of one width, ``tables`` times ``per_table`` of them."""
+
+    def __init__(self, dim: int, tables: int, per_table: int, probes: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.axes = rng.normal(size=(dim, tables * per_table))
+        self.shift = rng.uniform(size=tables * per_table)
+        self.shape, self.probes, self.width = (tables, per_table), probes, 1.0
+        # A probe leaves the query's own step on one or two axes, towards either side.
+        one = [((j, s),) for j in range(per_table) for s in (-1, 1)]
+        two = [(*a, *b) for a in one for b in one if a[0][0] < b[0][0]]
+        self.moves = np.zeros((1 + len(one) + len(two), per_table), dtype=np.int64)
+        for row, move in enumerate([(), *one, *two]):
+            for j, side in move:
+                self.moves[row, j] = side
+
+    def _steps(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.axes / self.width + self.shift).reshape(len(x), *self.shape)
+
+    def _numbers(self, steps: np.ndarray) -> np.ndarray:
+        """A number for each bucket (the last axis are its steps), alike in every task."""
+        tables = np.arange(1, self.shape[0] + 1, dtype=np.uint64)
+        out = np.broadcast_to(tables.reshape(1, -1, *[1] * (steps.ndim - 3)), steps.shape[:-1]).copy()
+        with np.errstate(over="ignore"):
+            for j in range(steps.shape[-1]):
+                out = (out ^ steps[..., j].astype(np.int64).view(np.uint64)) * _MIX
+                out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The bucket of each vector in each table."""
+        return self._numbers(np.floor(self._steps(x)))
+
+    def probed(self, x: np.ndarray) -> np.ndarray:
+        """The buckets that each query looks into, in each table: nearest steps first."""
+        steps = self._steps(x)
+        low = np.floor(steps)
+        inside = steps - low
+        # Squared distance, in steps, from the query to the edge that each move crosses.
+        cross = (self.moves < 0) * 1.0, (self.moves > 0) * 1.0
+        cost = inside**2 @ cross[0].T + (1 - inside) ** 2 @ cross[1].T
+        best = np.argsort(cost, axis=2, kind="stable")[:, :, : self.probes]
+        return self._numbers(low[:, :, None, :] + self.moves[best])
+
+    def fit(self, x: np.ndarray, k: int, cover: float) -> None:
+        """The least width (by steps of a fifth) at which the sample's neighbours are found."""
+        ask = np.arange(0, len(x), max(1, len(x) // FIT_QUERIES))
+        gaps = _to_pivots(x[ask], x)
+        gaps[np.arange(len(ask)), ask] = np.inf
+        near = np.argsort(gaps, axis=1, kind="stable")[:, : min(k, max(1, len(x) - 1))]
+        far = np.take_along_axis(gaps, near, axis=1)
+        far = far[np.isfinite(far) & (far > 0)]
+        self.width = float(np.median(far)) / 2 if len(far) else 1.0
+        for _ in range(40):
+            held, asked = self.own(x), self.probed(x[ask])
+            hit = np.zeros(near.shape, dtype=bool)
+            for t in range(self.shape[0]):
+                hit |= (held[near, t][:, :, None] == asked[:, t][:, None, :]).any(axis=2)
+            if hit.mean() >= cover:
+                break
+            self.width *= 1.2
+
+
+def approx_knn_join(
+    query: DataFrame,
+    base: DataFrame,
+    k: int,
+    features: str | Sequence[str],
+    id: str = "id",
+    exclude: str | None = None,
+    carry: Sequence[str] = (),
+    tables: int = 8,
+    per_table: int = 4,
+    probes: int = 12,
+    cover: float = COVER,
+    block_rows: int = 8192,
+    query_rows: int = 8192,
+    seed: int = 42,
+) -> DataFrame:
+    """Like ``knn_join``, but only rows that share a bucket with a query are measured.
+
+    Vectors are projected on random axes and cut into steps; ``per_table`` steps name a
+    bucket, in each of ``tables`` tables. A query looks into its own bucket of each table
+    and the ``probes - 1`` that are nearest across the edges. The width of a step is fitted
+    on at most ``FIT_ROWS`` rows by hash so that the share ``cover`` of their neighbours is
+    found; every base row is indexed. Distances are exact; a query may get fewer than k rows.
+
+    Rows meet by bucket. A bucket with more than ``block_rows`` rows is cut into parts by
+    hash, each a task's work; no task returns more than k rows for a query.
+    """
+    spark = base.sparkSession
+    group = F.col(exclude) if exclude else F.lit(None).cast("int")
+    q = query.select(F.col(id).alias("_id"), group.alias("_group"), _vector_of(query, features).alias("_vec"))
+    b = base.select(
+        F.col(id).alias("_id"), group.alias("_group"), _vector_of(base, features).alias("_vec"),
+        *[F.col(c).alias(f"_carry_{c}") for c in carry],
+    )
+    payload = [T.StructField(f"_carry_{c}", base.schema[c].dataType) for c in carry]
+    schema = _output_schema(query.schema[id].dataType, base.schema[id].dataType, payload)
+    out = [
+        "query_id", "base_id", F.col("_rank").cast("int").alias("rank"),
+        F.sqrt(F.col("_d") / F.lit(_SCALE)).alias("distance"), *[F.col(f"_carry_{c}").alias(c) for c in carry],
+    ]
+    b = stage(_distinct_base(b, k, exclude, id), "lsh-base")
+    sample = _pick_pivots(b, FIT_ROWS)
+    if not len(sample):
+        empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_rank", T.LongType())]))
+        return empty.select(*out)
+    hashes = _Hashes(sample.shape[1], tables, per_table, probes, seed)
+    hashes.fit(sample, k, cover)
+
+    def spread(numbers, dropped: list[str]):
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            found = numbers(_matrix(batch["_vec"])).reshape(len(batch), -1)
+            rows = np.repeat(np.arange(len(batch)), found.shape[1])
+            return batch.drop(columns=dropped).iloc[rows].assign(_bucket=found.ravel())
+
+        return run
+
+    held = stage(_add_columns(b, "_bucket long", spread(hashes.own, [])), "lsh-buckets")
+    parts = held.groupBy("_bucket").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_parts"))
+    parts = stage(parts, "lsh-parts")
+    block = F.xxhash64("_bucket", "_part").alias("_block")
+    held = held.join(parts, "_bucket").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    # Vectors follow only to buckets that have rows.
+    looked = T.StructType([q.schema["_id"], T.StructField("_bucket", T.LongType())])
+    probing = spread(hashes.probed, ["_group", "_vec"])
+    probed = q.mapInPandas(lambda batches: (probing(x) for x in batches if len(x)), looked)
+    asked = (
+        probed.join(parts, "_bucket")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .select("_id", block).join(q, "_id").withColumn("_d", F.lit(None).cast("double"))
     )
+    found = _visit(asked, held.select(*b.columns, block), k, exclude is not None, schema, query_rows)
+    # A row found in several tables is one; its distance is the same in each.
+    order = Window.partitionBy("query_id").orderBy("_d", "base_id")
+    once = found.dropDuplicates(["query_id", "base_id"])
+    return once.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).select(*out)
 
 
 def knn_classify(

@@ -42,7 +42,7 @@ from riskflow.operators.models import (
     train_logreg,
     train_rbf_svm,
 )
-from riskflow.operators.neighbors import knn_classify, knn_join
+from riskflow.operators.neighbors import approx_knn_join, knn_classify, knn_join
 from riskflow.operators.perturb import class_weights, flip_labels, gaussian_jitter
 from riskflow.operators.ranking import exact_quantiles, global_rank, running_sum
 from riskflow.operators.scaling import apply_standardize, fit_standardize
@@ -513,6 +513,12 @@ def knn_join_blocked(spark, sf_dir):
     return _knn_pairs(spark, sf_dir, "blocked")
 
 
+def knn_join_approx(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    pairs = approx_knn_join(rows, rows, 5, "embedding", "vec_id", exclude="vec_id")
+    return _round(pairs, "distance")
+
+
 def knn_classify_query(spark, sf_dir):
     """Vectors of even id vote on the label of the vectors of odd id."""
     rows = _table(spark, sf_dir, "embeddings").withColumn(
@@ -744,6 +750,7 @@ QUERIES: dict[str, Query] = {
     "class_weights_many": class_weights_many,
     "knn_join": knn_join_query,
     "knn_join_blocked": knn_join_blocked,
+    "knn_join_approx": knn_join_approx,
     "knn_classify": knn_classify_query,
     "cv_knn": cv_knn,
     "confusion": confusion_query,

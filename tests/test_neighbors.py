@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskflow.operators.neighbors import knn_classify, knn_join
+from riskflow.operators.neighbors import approx_knn_join, knn_classify, knn_join
 
 FORMS = [
     {"mode": "broadcast"},
@@ -113,3 +113,96 @@ def test_text_ids(spark):
         for m in ("broadcast", "blocked")
     ]
     assert forms[0] == forms[1] and len(forms[0]) == 120
+
+
+def test_rounds_bound_what_is_staged(spark, monkeypatch):
+    """On vectors without structure every block is visited, but only a few cells in a round."""
+    from riskflow.operators import neighbors
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.uniform(size=(600, 64)), 3)
+    staged = []
+
+    def spy(df, name):
+        out = neighbors_stage(df, name)
+        if name in ("knn-home", "knn-visits"):
+            staged.append(out.groupBy("_id").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    neighbors_stage = neighbors.stage
+    monkeypatch.setattr(neighbors, "stage", spy)
+    monkeypatch.setattr(neighbors, "ROUND_CELLS", 4)
+    _check(spark, x, np.arange(600), 3, {"mode": "blocked", "block_rows": 30}, exclude="id")
+    # 20 cells of one to three blocks each; a round goes through at most four cells.
+    assert staged[0] == 1 and max(staged) <= 12 and len(staged) >= 6
+
+
+def test_close_queries_stop_after_home(spark, monkeypatch):
+    """With far clusters no cell but a query's own is in reach in any round."""
+    from riskflow.operators import neighbors
+
+    rng = np.random.default_rng(5)
+    x = np.round(np.repeat(np.eye(5) * 1000, 40, axis=0) + rng.normal(size=(200, 5)), 3)
+    pairs = []
+
+    def spy(visits, *args):
+        out = neighbors_visit(visits, *args)
+        pairs.append(visits.count())
+        return out
+
+    neighbors_visit = neighbors._visit
+    monkeypatch.setattr(neighbors, "_visit", spy)
+    _check(spark, x, np.arange(200) % 7, 3, {"mode": "blocked", "block_rows": 10})
+    # All 20 and more blocks of each query would be 4,000 visits.
+    assert pairs[0] == 200 and sum(pairs) < 2_500
+
+
+def test_large_base_is_not_broadcast(spark, monkeypatch):
+    from riskflow.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BROADCAST_NUMBERS", 10)
+    df, cols = _frame(spark, np.arange(30), np.ones((30, 2)), np.zeros(30))
+    with pytest.raises(ValueError, match="not sent"):
+        knn_join(df, df, 2, cols, exclude="id", mode="broadcast")
+
+
+def test_approximate_join_finds_nine_of_ten(spark, small_dir):
+    rows = spark.read.parquet(f"{small_dir.replace('sf0.001', 'sf0.01')}/embeddings.parquet")
+    args = (rows, rows, 5, "embedding", "vec_id", "vec_id")
+    exact = {(r.query_id, r.base_id): r.distance for r in knn_join(*args).collect()}
+    got = approx_knn_join(*args, block_rows=100, query_rows=200).collect()
+    found = {(r.query_id, r.base_id): r.distance for r in got}
+    assert len(found) == len(got) and all(found[p] == exact[p] for p in found.keys() & exact.keys())
+    assert len(found.keys() & exact.keys()) >= 0.9 * len(exact)
+    assert max(r["rank"] for r in got) <= 5
+
+
+def test_approximate_join_measures_rows_of_shared_buckets_only(spark, monkeypatch):
+    """Clusters far apart share no bucket, so no pair across them is formed."""
+    from riskflow.operators import neighbors
+
+    rng = np.random.default_rng(6)
+    x = np.round(np.repeat(rng.normal(scale=200, size=(20, 6)), 30, axis=0) + rng.normal(size=(600, 6)), 3)
+    seen = []
+    visit = neighbors._visit
+
+    def spy(visits, blocks, *args):
+        seen.append(visits.select("_id", "_block").join(blocks.select(F.col("_id").alias("b"), "_block"), "_block")
+                    .select("_id", "b").distinct().collect())
+        return visit(visits, blocks, *args)
+
+    monkeypatch.setattr(neighbors, "_visit", spy)
+    df, cols = _frame(spark, np.arange(600), x, np.arange(600) // 30)
+    got = approx_knn_join(df, df, 4, cols, exclude="id").collect()
+    assert {r.query_id // 30 == r.base_id // 30 for r in got} == {True}
+    brute = _brute(np.arange(600), x, np.arange(600), 4)
+    assert len({(r.query_id, r.base_id) for r in got} & {b[:2] for b in brute}) >= 0.9 * len(brute)
+    assert len(seen[0]) < 0.15 * 600 * 600
+
+
+def test_approximate_join_edges(spark):
+    df, cols = _frame(spark, np.arange(40), np.ones((40, 3)), np.arange(40) % 4)
+    got = approx_knn_join(df, df, 3, cols, exclude="g").collect()  # copies of one vector
+    assert sorted((r.query_id, r.base_id, r["rank"]) for r in got) == _brute(np.arange(40), np.ones((40, 3)), np.arange(40) % 4, 3)
+    assert approx_knn_join(df, df.limit(0), 3, cols).count() == 0
+    assert approx_knn_join(df.limit(0), df, 3, cols).count() == 0
