@@ -74,4 +74,4 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     weights = per_class.select(
         label, (F.lit(float(total[0])) / (F.lit(float(total[1])) * F.col("_n"))).alias(out)
     )
-    return df.join(weights, label, "left")
+    return df.join(weights, label, "left").select(*df.columns, out)

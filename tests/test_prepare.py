@@ -310,3 +310,15 @@ def test_jitter_spread(spark):
     joined = noisy.withColumnRenamed("k", "n").join(df, "id")
     got = joined.agg(F.stddev(F.col("n") - F.col("k"))).collect()[0][0]
     assert got == pytest.approx(0.35 * spread, rel=0.03)
+
+
+def test_class_weight_columns_stand_alike_at_any_class_count(spark, monkeypatch):
+    from riskflow.operators import ranking
+    from riskflow.operators.perturb import class_weights
+
+    df = spark.createDataFrame([(i, i % 6, "z") for i in range(30)], "id long, y int, z string")
+    few = class_weights(df, "y")
+    monkeypatch.setattr(ranking, "_MAX_GROUPS", 3)
+    many = class_weights(df, "y")
+    assert few.columns == many.columns == ["id", "y", "z", "weight"]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
