@@ -248,7 +248,7 @@ def _scored(visits: DataFrame, tree: Tree, k: int, same: bool) -> DataFrame:
                         "key": some["key"].to_numpy()[a], "window": w, "id": ids[r], "score": s,
                     }))
         # An empty frame beside others would turn whole numbers into doubles.
-        return pd.concat(found)[columns] if found else pd.DataFrame({c: [] for c in columns})
+        return pd.concat(found)[columns] if found else pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
 
     return _meet(visits, tree.leaves, score, f"key long, window int, id {kind}, score long")
 

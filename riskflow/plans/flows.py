@@ -29,6 +29,7 @@ from riskflow.operators.columns import (
     resolve_features,
     short_names,
 )
+from riskflow.operators.folded_logreg import cross_validate_logreg
 from riskflow.operators.folds import fold_split, ordered_folds, random_folds, stratified_folds
 from riskflow.operators.impute import apply_fill, fit_fill
 from riskflow.operators.models import (
@@ -129,11 +130,10 @@ class Experiment:
 
 
 def logreg_experiment(survey: DataFrame, id: str = "id", k: int = C.FOLDS) -> Experiment:
-    """Logistic regression on random folds."""
+    """Logistic regression on random folds, all folds fitted together."""
     df = random_folds(clean(survey), k, id=id)
     features = resolve_features(df)
-    trainer = partial(train_logreg, features=features, label=C.LABEL, max_iter=100)
-    pred = cross_validate(df, trainer, features, C.LABEL, id, k=k)
+    pred = cross_validate_logreg(df, features, C.LABEL, id, k=k)
     return Experiment(features, df, pred, cv_report(pred, averaging="mixed", ddof=1))
 
 
@@ -158,10 +158,7 @@ def balanced_logreg_experiment(survey: DataFrame, id: str = "id", k: int = C.FOL
     noisy = perturbed(survey, id)
     df = stratified_folds(noisy, "flipped", k, id=id)
     features = [c for c in noisy.columns if c not in (id, C.LABEL, "flipped")]
-    trainer = partial(
-        train_logreg, features=features, label="flipped", max_iter=1000, balanced=True, C=1.0
-    )
-    pred = cross_validate(df, trainer, features, "flipped", id, k=k)
+    pred = cross_validate_logreg(df, features, "flipped", id, k=k, balanced=True, C=1.0)
     return Experiment(features, df, pred, cv_report(pred, averaging="binary", ddof=1))
 
 

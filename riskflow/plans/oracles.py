@@ -303,7 +303,24 @@ def _rounded_metrics(body: str, ctes: str = SCORED) -> str:
     return f"{ctes} SELECT fold, samples, {cells} FROM ({body})"
 
 
+def _optimal(folds: str) -> str:
+    """Rows each fold's model learns from, and the mean gradient at its optimum."""
+    names = ", ".join(f"('{c}')" for c in [*FEATURES, "intercept"])
+    return f"""{folds} SELECT CAST(f AS INTEGER) AS fold, feature,
+  (SELECT count(*) FROM folds WHERE fold <> f) AS rows, 0e0 AS gradient
+FROM range(5) k(f), (VALUES {names}) n(feature)"""
+
+
 ORACLES: dict[str, str] = {
+    "logreg_gradients": _optimal(
+        f"{SURVEY}, folds AS (SELECT CAST({_hash('42', 'id')} % 5 AS INTEGER) AS fold FROM survey)"
+    ),
+    "logreg_balanced_gradients": _optimal(f"""{SURVEY}, t AS (SELECT id, depression,
+  row_number() OVER (ORDER BY {_hash('42:flip', 'id')}, id) AS rn, count(*) OVER () AS n FROM survey),
+noisy AS (SELECT id, CASE WHEN rn <= floor(n * 0.015e0) THEN 1 - depression ELSE depression END AS flipped FROM t),
+ranked AS (SELECT row_number() OVER (PARTITION BY flipped ORDER BY {_hash('42', 'id')}, id) AS rn,
+  count(*) OVER (PARTITION BY flipped) AS n FROM noisy),
+folds AS (SELECT {_cut_folds('rn', 'n')} AS fold FROM ranked)"""),
     "survey_encoded": f"{SURVEY} SELECT id, {_TRAIN_CODES}, depression FROM survey",
     "survey_encoded_bilingual": f"""{SURVEY},
 t AS (SELECT id, CASE WHEN id % 3 = 0 THEN CASE gender WHEN 'Male' THEN 'Nam'
@@ -333,6 +350,9 @@ SELECT id, CASE WHEN lower(gender) IN ('nam', 'male') THEN 1e0 ELSE 0e0 END AS g
   {_r('financial_stress / 5e0', 'fs')}, {_r('(3e0 - sleep_duration) / 3e0', 'sd')},
   {_r('(5e0 - study_satisfaction) / 4e0', 'ss')} FROM filled""",
     "csv_roundtrip_semicolon": f"{SURVEY} SELECT id, {_LIST}, depression FROM survey",
+    "csv_mixed_headers": f"""{SURVEY} SELECT id, age, CASE WHEN id % 3 < 2 THEN cgpa END AS cgpa,
+  academic_pressure, study_satisfaction, financial_stress, sleep_duration,
+  CASE WHEN id % 3 < 2 THEN gender END AS gender, family_history, depression FROM survey""",
     "csv_roundtrip_inferred": f"""{SURVEY} SELECT id, age AS "Age", cgpa AS "CGPA",
   gender AS "Gender", depression AS "Depression" FROM survey""",
     "lenient_load": f"""{MESSY},

@@ -33,6 +33,7 @@ from riskflow.operators.evaluate import (
     roc_curve,
     weighted_metrics,
 )
+from riskflow.operators.folded_logreg import fit_logreg_folds, fold_gradients
 from riskflow.operators.folds import ordered_folds, random_folds, stratified_folds
 from riskflow.operators.impute import apply_fill, feature_stats, fit_fill
 from riskflow.operators.models import (
@@ -187,6 +188,25 @@ def csv_roundtrip_semicolon(spark, sf_dir):
     )
 
 
+def csv_mixed_headers(spark, sf_dir):
+    """A folder whose files differ in delimiter, column order and columns."""
+    path = fresh_path(spark, "survey-csv")
+    df = survey(spark, sf_dir)
+    named = df.toDF(*[RAW_NAMES.get(c, c) for c in df.columns])
+    part = F.pmod("id", F.lit(3))
+    for i, (sep, columns) in enumerate(
+        [(",", named.columns), (";", named.columns[::-1]), (",", [c for c in named.columns[2:] if c != "CGPA"] + ["id"])]
+    ):
+        rows = named.where(part == i).select(*[F.col(f"`{c}`") for c in columns])
+        rows.write.mode("append").option("sep", sep).option("header", True).csv(path)
+    back = read_survey(spark, path)
+    return back.select(
+        F.col("id").cast("bigint").alias("id"),
+        *[F.col(raw).alias(name) for raw, name in C.RAW_FEATURES.items()],
+        F.col(C.RAW_LABEL).cast("int").alias(C.LABEL),
+    )
+
+
 def csv_roundtrip_inferred(spark, sf_dir):
     path = _raw_file(spark, sf_dir, ",")
     back = read_survey(spark, path, seps=(",",), infer=True)
@@ -628,6 +648,21 @@ def bootstrap_multinomial(spark, sf_dir):
 # --- trained models -------------------------------------------------------------------
 
 
+def _gradients(experiment, label: str, C_value: float | None = None, balanced: bool = False) -> DataFrame:
+    """Mean gradient of each fold's model; zero where it is optimal."""
+    models = fit_logreg_folds(experiment.data, experiment.features, label, C=C_value, balanced=balanced)
+    rows = fold_gradients(experiment.data, models, label, C=C_value)
+    return rows.withColumn("gradient", F.round("gradient", 7) + F.lit(0.0))
+
+
+def logreg_gradients(spark, sf_dir):
+    return _gradients(logreg_experiment(survey(spark, sf_dir)), C.LABEL)
+
+
+def logreg_balanced_gradients(spark, sf_dir):
+    return _gradients(balanced_logreg_experiment(survey(spark, sf_dir)), "flipped", 1.0, True)
+
+
 def cv_logreg(spark, sf_dir):
     return logreg_experiment(survey(spark, sf_dir)).report
 
@@ -711,6 +746,7 @@ QUERIES: dict[str, Query] = {
     "survey_serving_encode": survey_serving_encode,
     "risk_components": risk_components_query,
     "csv_roundtrip_semicolon": csv_roundtrip_semicolon,
+    "csv_mixed_headers": csv_mixed_headers,
     "csv_roundtrip_inferred": csv_roundtrip_inferred,
     "lenient_load": lenient_load,
     "bad_row_counts": bad_row_counts,
@@ -769,6 +805,8 @@ QUERIES: dict[str, Query] = {
     "bootstrap_report": bootstrap_report_query,
     "reliability_score": reliability_score_query,
     "bootstrap_multinomial": bootstrap_multinomial,
+    "logreg_gradients": logreg_gradients,
+    "logreg_balanced_gradients": logreg_balanced_gradients,
     "cv_logreg": cv_logreg,
     "cv_logreg_balanced": cv_logreg_balanced,
     "cv_forest": cv_forest,

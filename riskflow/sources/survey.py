@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -104,7 +106,9 @@ def layouts(spark: SparkSession, path: str, seps: Sequence[str]) -> list[Layout]
         raise ValueError(f"more than {MOST_LAYOUTS} different header lines")
     if len(found) < 2:
         return [Layout(path, *_as_pair(_sniff(spark, path, seps)))]
-    groups = sorted(r["paths"] for r in found)
+    # Spark gives file names as parts of a URI, and takes them as patterns.
+    plain = lambda p: re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(p))
+    groups = sorted([plain(p) for p in r["paths"]] for r in found)
     return [Layout(tuple(g), *_as_pair(_sniff(spark, g[0], seps))) for g in groups]
 
 

@@ -227,3 +227,60 @@ def test_knn_cross_validation_never_uses_its_own_fold(spark):
     pred = cross_validate_knn(df, ["x"], "y", neighbors=1).collect()
     assert len(pred) == 40
     assert all(r.prediction == 1 - r.label for r in pred)
+
+
+@pytest.mark.parametrize("settings", [{}, {"balanced": True, "C": 1.0}, {"balanced": True, "C": 0.05, "penalise_intercept": False}])
+def test_folds_fitted_together_equal_separate_fits(spark, linear, settings, monkeypatch):
+    from riskflow.operators import folded_logreg
+
+    df = random_folds(linear, 4)
+    models = folded_logreg.fit_logreg_folds(df, XS, "y", k=4, **settings)
+    rows = df.toPandas()
+    for i in range(4):
+        train = rows[rows["fold"] != i]
+        x, y = train[XS].to_numpy(), train["y"].to_numpy().astype(float)
+        z = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0), np.ones(len(x))])
+        w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())) if settings else np.ones(len(y))
+        penalty = np.array([1.0 / settings["C"]] * 4) if settings else np.zeros(4)
+        if not settings.get("penalise_intercept", True):
+            penalty[-1] = 0
+        theta = np.zeros(4)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z @ theta))
+            hessian = z.T @ (z * (w * p * (1 - p))[:, None]) + np.diag(penalty)
+            theta -= np.linalg.solve(hessian, z.T @ (w * (p - y)) + penalty * theta)
+        assert models.coefficients[i] == pytest.approx(theta[:3] / x.std(axis=0), abs=1e-6)
+        assert models.intercepts[i] == pytest.approx(theta[3] - (theta[:3] / x.std(axis=0) * x.mean(axis=0)).sum(), abs=1e-6)
+    # Passes over the rows do not depend on the number of folds.
+    assert folded_logreg.fit_logreg_folds(random_folds(linear, 9), XS, "y", k=9, **settings).passes <= models.passes + 1
+    pred = folded_logreg.cross_validate_logreg(df, XS, "y", k=4, **settings)
+    assert pred.count() == 400 and pred.where("score is null or prediction not in (0, 1)").count() == 0
+    gradients = folded_logreg.fold_gradients(df, models, "y", C=settings.get("C"), penalise_intercept=settings.get("penalise_intercept", True))
+    assert gradients.count() == 16 and gradients.where("abs(gradient) > 1e-8").count() == 0
+
+
+def test_fold_models_on_hard_rows(spark, linear):
+    from riskflow.operators.folded_logreg import cross_validate_logreg, fit_logreg_folds
+
+    flat = random_folds(linear.withColumn("flat", F.lit(3.0)), 3)
+    models = fit_logreg_folds(flat, [*XS, "flat"], "y", k=3)
+    assert models.coefficients[:, 3].tolist() == [0.0, 0.0, 0.0]
+    apart = flat.withColumn("y", (F.col("x0") > 0).cast("int"))  # no finite optimum
+    pred = cross_validate_logreg(apart, XS, "y", k=3)
+    assert pred.where("prediction = label").count() > 390
+    with pytest.raises(ValueError, match="null"):
+        fit_logreg_folds(flat.withColumn("x0", F.when(F.col("id") > 3, F.col("x0"))), XS, "y", k=3)
+    with pytest.raises(ValueError, match="labels"):
+        fit_logreg_folds(flat.withColumn("y", F.lit(2)), XS, "y", k=3)
+
+
+def test_fold_moments_are_merged(linear):
+    from riskflow.operators.folded_logreg import all_but, fold_partials
+
+    df = random_folds(linear, 4)
+    parts = fold_partials(df, XS, ["fold"])
+    for i in range(4):
+        got = all_but(parts, i, 3)
+        rows = df.where(F.col("fold") != i).toPandas()[XS]
+        assert got.n == len(rows)
+        assert got.mean == pytest.approx(rows.mean().to_numpy()) and got.deviation(1) == pytest.approx(rows.std().to_numpy())

@@ -100,6 +100,15 @@ def test_files_are_read_by_their_own_headers(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
 
 
+def test_odd_file_names(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "x 1.csv").write_text("id,Age\n1,2\n")
+    (folder / "y%20[z].csv").write_text("Age,id\n3,4\n")
+    got = read_survey(spark, str(folder)).select("id", "Age").collect()
+    assert sorted(map(tuple, got)) == [("1", 2.0), ("4", 3.0)]
+
+
 def test_lenient_files_are_read_by_name(spark, tmp_path):
     path = _folder(tmp_path, a="Age,CGPA\n20,3.5\n", b="CGPA,Age,Gender\n2.5,30,Female\n")
     got = read_survey_lenient(spark, path).orderBy("Age").collect()
