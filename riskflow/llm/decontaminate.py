@@ -14,7 +14,7 @@ hash the benchmark has leave it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.llm.common import col, hidden, let, row_hash
@@ -65,57 +65,62 @@ def templates(toks: Column) -> Column:
     return let(toks, lambda held: F.transform(held, lambda t, i: one(held, t, i)))
 
 
-def window_hashes(template: Column, width: int) -> Column:
-    """Hashes of all windows of ``width`` template tokens, in order."""
-    codes = F.transform(template, lambda w: F.xxhash64(w))
-    return let(codes, lambda c: F.transform(
-        F.when(F.size(c) >= width, F.sequence(F.lit(0), F.size(c) - width)).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda i: F.xxhash64(*[F.get(c, i + j) for j in range(width)]),
-    ))
+def window_hashes(words: Column, widths: list[int], salt: int = 0) -> Column:
+    """(width, pos, hash) of all windows of consecutive words, for each width."""
+
+    def of(codes: Column, width: int) -> Column:
+        at = F.when(F.size(codes) >= width, F.sequence(F.lit(0), F.size(codes) - width))
+        return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.struct(
+            F.lit(width).alias("width"), i.alias("pos"),
+            F.xxhash64(F.lit(salt), *[F.get(codes, i + j) for j in range(width)]).alias("hash"),
+        ))
+
+    codes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(codes, lambda c: F.concat(*[of(c, w) for w in widths]))
+
+
+def _is_slot(token: Column) -> Column:
+    return token.isin("<number>", "<name>", "<unit>")
 
 
 def prepare_benchmark(bench: DataFrame, id_col: str, text_col: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """Items with their templates, and the windows that candidates are looked up by.
+    """Items with their templates, and their windows by hash.
 
-    An item with fewer tokens than a window is one window of its own width. Of an item's n
-    windows a document must hold at least ``share * n``; so it is enough to look up all but
-    the ``ceil(share * n) - 1`` that are most common in the benchmark.
+    An item with fewer tokens than a window is one window of its own width. Windows of
+    nothing but placeholders are no evidence and are left out; an item that has no other is
+    compared by its words as they stand. A document must hold at least ``share`` of the
+    windows that are left.
     """
     toks = F.col("toks")
-    items = stage(
+    plain = F.transform(toks, lambda t: F.lower(t["word"]))
+    items = (
         bench.select(col(id_col).alias("item_id"), tokens(col(text_col)).alias("toks")).distinct()
-        .select(
-            "item_id", F.transform(toks, lambda t: F.lower(t["word"])).alias("item_words"),
-            templates(toks).alias("item_template"),
-        )
+        .select("item_id", plain.alias("item_words"), templates(toks).alias("item_template"))
         .where(F.size("item_words") > 0)
         .withColumn("width", F.least(F.lit(WINDOW), F.size("item_words")))
-        .withColumn("n_windows", F.size("item_words") - F.col("width") + 1)
-        .withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n_windows") * share)).cast("int"))
-        .withColumn("item", F.xxhash64("item_id", "item_words", "item_template")),
-        "bench-items",
+        .withColumn("literal", F.transform("item_template", lambda t: ~_is_slot(t)))
+        .withColumn("at", F.filter(
+            F.sequence(F.lit(0), F.size("item_words") - F.col("width")),
+            lambda p: F.exists(F.slice("literal", p + 1, F.col("width")), lambda x: x),
+        ))
+        .withColumn("by_words", F.size("at") == 0)
+        .withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "item_words", "item_template"))
     )
+    items = stage(items, "bench-items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most WINDOW values
-    parts = [
-        items.where(F.col("width") == w).select(
-            "item", "need", "n_windows", "width",
-            F.posexplode(window_hashes(F.col("item_template"), w)).alias("item_pos", "hash"),
-        )
-        for w in widths
-    ]
-    windows = parts[0]
-    for part in parts[1:]:
-        windows = windows.unionByName(part)
-    often = windows.groupBy("width", "hash").agg(F.count("*").alias("often"))
-    rare = Window.partitionBy("item").orderBy("often", "item_pos")
-    windows = (
-        windows.join(often, ["width", "hash"]).withColumn("place", F.row_number().over(rare))
-        .where(F.col("place") <= F.col("n_windows") - F.col("need") + 1)
-        .select("width", "hash", "item", "item_pos")
+    hashed = lambda words, salt: F.filter(
+        window_hashes(F.col(words), widths, salt), lambda x: x["width"] == F.col("width")
+    )
+    windows = items.select("item", "by_words", "at", F.inline(
+        F.when(F.col("by_words"), hashed("item_words", 1)).otherwise(hashed("item_template", 0))
+    ))
+    kept = F.col("by_words") | F.array_contains("at", F.col("pos"))
+    windows = stage(
+        windows.where(kept).select("width", "hash", "item", F.col("pos").alias("item_pos"), "by_words"), "bench-windows"
     )
-    return items, stage(windows, "bench-windows")
+    sizes = windows.groupBy("item").agg(F.count("*").cast("int").alias("n_windows"))
+    sizes = sizes.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n_windows") * share)).cast("int"))
+    return items.join(sizes, "item"), windows
 
 
 def contaminated(
@@ -128,7 +133,10 @@ def contaminated(
     ``share`` of the item's windows with consistent placeholders; k1 and k2 are hashes of
     the document's id and text. Of several such places the best counts. Null and empty
     texts and items match nothing; rows equal in id and text are one; an empty table on
-    either side gives an empty result; other columns are not read.
+    either side gives an empty result; other columns are not read, whatever their names.
+    Texts are read whole: only windows of the benchmark leave a row, and of the places where
+    they stand in line only those go on that have enough of them, with the words at their
+    placeholders, a row each.
     """
     docs = df.select(
         row_hash([id_col, text_col], 1).alias("k1"), row_hash([id_col, text_col], 2).alias("k2"),
@@ -142,70 +150,55 @@ def contaminated(
     if bench.where(col(bench_text).rlike(r"[\p{L}\p{N}]")).isEmpty():
         return df.sparkSession.createDataFrame([], schema)
     items, windows = prepare_benchmark(bench, bench_id, bench_text, share)
-    widths = sorted(r[0] for r in windows.select("width").distinct().collect())
-    known = windows.select("width", "hash").distinct()
-    found = None
-    for w in widths:
-        # Only ids and hashes leave the row; the join keeps what the benchmark has.
-        part = docs.select("k1", "k2", F.posexplode(window_hashes(
-            templates(tokens(F.col("text"))), w)).alias("doc_pos", "hash"))
-        part = part.join(stage(known.where(F.col("width") == w), "bench-hashes"), "hash", "left_semi")
-        part = part.withColumn("width", F.lit(w))
-        found = part if found is None else found.unionByName(part)
-    found = stage(found, "bench-found")
-    places = stage(
+    sought = {(r.by_words, r.width) for r in windows.select("by_words", "width").distinct().collect()}
+    by_template, by_words = (sorted(w for words, w in sought if words == kind) for kind in (False, True))
+    known = stage(windows.select("width", "hash").distinct(), "bench-hashes")
+    # Texts are cut into tokens once; only ids and hashes leave the row.
+    hashes = lambda t: F.concat(*[h for h in (
+        window_hashes(templates(t), by_template) if by_template else None,
+        window_hashes(F.transform(t, lambda x: F.lower(x["word"])), by_words, 1) if by_words else None,
+    ) if h is not None])
+    found = docs.select("k1", "k2", "id", F.inline(let(tokens(F.col("text")), hashes)))
+    found = stage(found.join(known, ["width", "hash"], "left_semi"), "bench-found")
+    hits = (
         found.join(windows, ["width", "hash"])
-        .select("k1", "k2", "item", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).distinct(),
-        "bench-places",
-    )
-    toks = F.col("toks")
-    touched = (
-        docs.join(places.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-        .dropDuplicates(["k1", "k2"])
-        .select("k1", "k2", "id", tokens(F.col("text")).alias("toks"))
-        .select(
-            "k1", "k2", "id", F.transform(toks, lambda t: F.lower(t["word"])).alias("doc_words"),
-            templates(toks).alias("doc_template"),
-        )
-    )
-    # Only the stretch of the document beside the item goes on.
-    size = F.size("item_words")
-    stretch = lambda c: F.transform(
-        F.sequence(F.lit(0), size - 1), lambda p: F.get(F.col(c), p + F.col("shift"))
-    )
-    beside = (
-        places.join(touched, ["k1", "k2"]).join(items, "item")
-        .select(
-            "k1", "k2", "id", "item_id", "n_windows", "need", "width", "item_words", "item_template",
-            stretch("doc_words").alias("words"), stretch("doc_template").alias("template"),
-        )
-    )
-    same = F.zip_with("item_template", "template", lambda a, b: a.eqNullSafe(b))
-    hits = F.filter(
-        F.sequence(F.lit(0), F.col("n_windows") - 1),
-        lambda p: F.forall(F.slice(F.col("same"), p + 1, F.col("width")), lambda x: x),
+        .groupBy("k1", "k2", "id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        .agg(F.sort_array(F.collect_set("item_pos")).alias("hits"))  # at most the item's windows
+        .withColumn("matched", F.size("hits"))
     )
+    # Placeholders inside the windows that were met.
+    covered = lambda t: F.exists("hits", lambda p: (p <= t) & (t < p + F.col("width")))
     slots = F.filter(
-        F.sequence(F.lit(0), size - 1),
-        lambda t: F.get("item_template", t).startswith("<")
-        & F.exists("hits", lambda p: (p <= t) & (t < p + F.col("width"))),
+        F.sequence(F.lit(0), F.size("item_words") - 1),
+        lambda t: ~F.col("by_words") & _is_slot(F.get("item_template", t)) & covered(t),
     )
-    pair = F.transform("slots", lambda t: F.struct(
-        F.get("item_template", t).alias("kind"), F.get("item_words", t).alias("a"), F.get("words", t).alias("b")
+    cells = F.transform("slots", lambda t: F.struct(
+        F.get("item_template", t).alias("kind"), F.get("item_words", t).alias("a"), (F.col("shift") + t).alias("pos")
     ))
+    place = ["k1", "k2", "id", "item", "item_id", "shift", "n_windows", "matched"]
+    places = stage(
+        hits.join(items, "item").where(F.col("matched") >= F.col("need"))
+        .withColumn("slots", slots).select(*place, cells.alias("cells")),
+        "bench-places",
+    )
+    bare = places.where(F.size("cells") == 0).select(*place, F.lit(0).alias("changed_slots"))
+    filled = places.where(F.size("cells") > 0).select(*place, F.inline("cells"))
+    touched = docs.join(filled.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    words = touched.select("k1", "k2", F.posexplode(tokens(F.col("text"))).alias("pos", "tok"))
+    words = words.select("k1", "k2", "pos", F.lower("tok.word").alias("b"))
+    pairs = F.collect_set(F.struct("kind", "a", "b", "pos")).alias("pairs")  # at most the item's slots
     n = lambda f: F.size(F.array_distinct(F.transform("pairs", f)))
-    both = n(lambda p: p)
+    both = n(lambda p: F.struct(p["kind"], p["a"], p["b"]))
     consistent = (both == n(lambda p: F.struct(p["kind"], p["a"]))) & (both == n(lambda p: F.struct(p["kind"], p["b"])))
     judged = (
-        beside.withColumn("same", same).withColumn("hits", hits).withColumn("matched", F.size("hits"))
-        .where(F.col("matched") >= F.col("need"))
-        .withColumn("slots", slots).withColumn("pairs", pair).where(consistent)
-        .withColumn("changed_slots", F.size(F.filter("pairs", lambda p: p["a"] != p["b"])))
+        filled.join(words, ["k1", "k2", "pos"]).groupBy(*place).agg(pairs).where(consistent)
+        .select(*place, F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("changed_slots"))
+        .unionByName(bare)
     )
-    best = F.max(F.struct("matched", -F.col("changed_slots"))).alias("best")
+    best = F.max(F.struct("matched", (-F.col("changed_slots")).alias("same"))).alias("best")
     return (
         judged.groupBy("k1", "k2", "id", "item_id", "n_windows").agg(best)
-        .select("k1", "k2", "id", "item_id", "n_windows", "best.matched", (-F.col("best.col2")).alias("changed_slots"))
+        .select("k1", "k2", "id", "item_id", "n_windows", "best.matched", (-F.col("best.same")).alias("changed_slots"))
         .select(*out)
     )
 
@@ -214,7 +207,11 @@ def decontaminate(
     df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bench_id: str = "item_id", bench_text: str = "text", share: float = SHARE,
 ) -> DataFrame:
-    """The rows of ``df``, all columns, that run along no benchmark item."""
+    """The rows of ``df``, all columns, that run along no benchmark item.
+
+    Rows with a null or empty text stay; equal rows stay or go together; columns may have
+    any names; an empty benchmark leaves all rows.
+    """
     names = df.columns
     k1, k2 = hidden(df, "k1", "k2")
     bad = contaminated(df, bench, id_col, text_col, bench_id, bench_text, share)
