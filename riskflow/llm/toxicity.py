@@ -34,18 +34,9 @@ N_SYMBOLS = 28
 #: Costs of the channel, in nats.
 SWAP, WILD, DROP_SEPARATOR, DROP_REPEAT, DROP_DOUBLE, KEEP_SIGN = 1.0, 3.0, 0.5, 1.0, 5.0, 8.0
 _SEPARATORS = " .,_*-~'/"
-_SIGN = r"0-9@$!|+(€£*"
-_NOISY = re.compile(
-    # single letters or signs with a separator after each
-    rf"(?<![\w{_SIGN}])(?:(?:[^\W_]|[{_SIGN}])[ .,_*\-~'/]{{1,2}}){{3,}}[^\W_](?![\w{_SIGN}])"
-    # a token that mixes letters with signs inside it or before them
-    rf"|(?<![\w{_SIGN}])(?=[{_SIGN}]*[^\W\d_])[^\W\d_]*(?:[{_SIGN}._\-~'][^\W\d_{_SIGN}]*?)+[^\W\d_]+(?!\w)"
-    # a letter three times running
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-)
-#: Longer spans are decoded in pieces of so many characters.
-_PIECE = 48
-_BEAM = 64
+_SIGNS = "0123456789@$!|+(€£*"
+#: Readings of spans of so many characters are kept for the next time.
+_LONGEST_KNOWN = 64
 _WORDS = re.compile(r"[^\W\d_]+")
 
 #: A feature must occur in so many toxic rows, and be so much more frequent there.
@@ -145,6 +136,75 @@ def noisy_regions(text: str, table: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[at].tolist(), end[np.concatenate([at[1:] - 1, [len(end) - 1]])].tolist()))
 
 
+_IS_LETTER, _IS_WORD, _IS_ALNUM, _IS_SIGN, _IS_GAP, _IS_BODY = 1, 2, 4, 8, 16, 32
+
+
+class _Kinds(dict):
+    """What a character may be in a noisy span, worked out when first met."""
+
+    def __missing__(self, ch: str) -> int:
+        letter = ch.isalnum() and not ch.isdecimal()
+        kind = (
+            _IS_LETTER * letter | _IS_WORD * (ch.isalnum() or ch == "_") | _IS_ALNUM * ch.isalnum()
+            | _IS_SIGN * (ch in _SIGNS) | _IS_GAP * (ch in _SEPARATORS) | _IS_BODY * (ch in _SIGNS or ch in "._-~'")
+        )
+        self[ch] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+
+
+def noisy_spans(text: str) -> list[tuple[int, int]]:
+    """Noisy spans of a stretch, first come first, in time in proportion to its length.
+
+    At each place the first of these that holds is taken:
+    four or more single letters or signs with one or two separators between them;
+    letters and signs mixed, up to the first letter after a sign that ends a word;
+    letters with one of them three times running.
+    The first two begin and end where no word does. Everything that may follow a place is
+    known from a pass from right to left.
+    """
+    n = len(text)
+    kind = [*map(_KINDS.__getitem__, text), 0, 0, 0]
+    # Where the spaced form ends if it goes on at a place after 0, 1, 2, 3 or more characters.
+    spaced: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)] * (n + 4)
+    mixed_end, next_sign, letter_end = [-1] * (n + 1), [n] * (n + 1), [0] * (n + 1)
+    leads, tripled = [False] * (n + 1), [False] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        k, after = kind[i], kind[i + 1]
+        if k & (_IS_ALNUM | _IS_SIGN):
+            ends = [0, 0, 0, 0]
+            if after & _IS_GAP:
+                two, one = spaced[i + 3] if kind[i + 2] & _IS_GAP else (0, 0, 0, 0), spaced[i + 2]
+                ends = [two[c] or one[c] for c in (1, 2, 3, 3)]
+            if not ends[3] and k & _IS_ALNUM and not after & (_IS_WORD | _IS_SIGN):
+                ends[3] = i + 1
+            spaced[i] = tuple(ends)
+        if k & (_IS_LETTER | _IS_BODY):
+            mixed_end[i] = i + 1 if k & _IS_LETTER and not after & _IS_WORD else mixed_end[i + 1]
+            next_sign[i] = i if k & _IS_BODY else next_sign[i + 1]
+            leads[i] = bool(k & _IS_LETTER) or bool(k & _IS_SIGN) and leads[i + 1]
+        if k & _IS_LETTER:
+            letter_end[i] = letter_end[i + 1] if after & _IS_LETTER else i + 1
+            if after & _IS_LETTER:
+                three = kind[i + 2] & _IS_LETTER and text[i] == text[i + 1] == text[i + 2]
+                tripled[i] = bool(three) or tripled[i + 1]
+    found, i = [], 0
+    while i < n:
+        end = 0
+        if not i or not kind[i - 1] & (_IS_WORD | _IS_SIGN):
+            end = spaced[i][0]
+            if not end and leads[i] and next_sign[i] < n:
+                end = max(0, mixed_end[next_sign[i] + 1])
+        if not end and tripled[i]:
+            end = letter_end[i]
+        if end:
+            found.append((i, end))
+        i = end or i + 1
+    return found
+
+
 class Decoder:
     """Viterbi decoding of noisy spans; spans seen before are looked up."""
 
@@ -162,29 +222,30 @@ class Decoder:
             return text
         out, at = [], 0
         for start, end in regions:
-            out += [text[at:start], _NOISY.sub(self._found, text[start:end])]
+            region, done = text[start:end], 0
+            out.append(text[at:start])
+            for first, last in noisy_spans(region):
+                out += [region[done:first], self.decode(region[first:last])]
+                done = last
+            out.append(region[done:])
             at = end
         return "".join([*out, text[at:]])
 
-    def _found(self, match: re.Match) -> str:
-        return self.whole(match[0])
-
     def decode(self, span: str) -> str:
+        """The cheapest reading of a whole span, however long."""
         said = self.known.get(span)
         if said is None:
-            if len(self.known) >= 100_000:
-                self.known.clear()
-            said = self.known[span] = self._decode(span)
+            said = self._decode(span)
+            if len(span) <= _LONGEST_KNOWN:
+                if len(self.known) >= 100_000:
+                    self.known.clear()
+                self.known[span] = said
         return said
 
-    def whole(self, span: str) -> str:
-        if len(span) <= _PIECE:
-            return self.decode(span)
-        return "".join(self.decode(span[i:i + _PIECE]) for i in range(0, len(span), _PIECE))
-
     def _decode(self, span: str) -> str:
         costs = self.costs
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # Cost of each pair of last symbols, and its reading as a chain of characters.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, ch in enumerate(span):
             again = i > 0 and span[i - 1] == ch
             options: list[tuple[str, float]] = []
@@ -201,8 +262,8 @@ class Decoder:
                 if ch in _SEPARATORS:
                     options.append(("", DROP_SEPARATOR))
                 options.append((ch, KEEP_SIGN))
-            best: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, said) in beam.items():
+            best: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, said) in states.items():
                 for c, extra in options:
                     if c:
                         s = ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
@@ -210,11 +271,15 @@ class Decoder:
                     else:
                         state, now = (a, b), cost + extra
                     if state not in best or now < best[state][0]:
-                        best[state] = (now, said + c)
-            if len(best) > _BEAM:
-                best = dict(sorted(best.items(), key=lambda kv: kv[1][0])[:_BEAM])
-            beam = best
-        return min((cost + float(costs[a, b, 0]), said) for (a, b), (cost, said) in beam.items())[1]
+                        best[state] = (now, (said, c) if c else said)
+            states = best
+        ended = ((cost + float(costs[a, b, 0]), a, b) for (a, b), (cost, _) in states.items())
+        _, a, b = min(ended)
+        said, out = states[a, b][1], []
+        while said is not None:
+            said, c = said
+            out.append(c)
+        return "".join(reversed(out))
 
 
 def token_features(token: str) -> tuple[str, ...]:
