@@ -10,11 +10,11 @@ position of every text counts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ TRAIN_ROWS, TRAIN_TOKENS = 4_000, 60
 HIDDEN, PIECE, BATCH, STEPS, RATE = 16, 16, 256, 1_500, 0.01
 #: Tokens a task remembers at most before it starts anew.
 REMEMBER = 200_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

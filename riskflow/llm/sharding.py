@@ -73,8 +73,10 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
         )
 
     while True:
-        # A Laplace proposal dominates the log-concave distribution up to the factor e.
-        d = int(np.rint(rng.exponential(spread) * (1 if rng.random() < 0.5 else -1)))
+        # The difference of two geometric numbers has the mass of exp(-|d| / spread) at every
+        # whole d, and dominates the log-concave distribution up to the factor e.
+        p = -np.expm1(-1.0 / spread)
+        d = int(rng.geometric(p)) - int(rng.geometric(p))
         k = mode + d
         if low <= k <= high and np.log(rng.random()) < log_ratio(k) + abs(d) / spread - 1.0:
             return k
