@@ -1,19 +1,16 @@
-"""Classifiers: logistic regression, forest, and a kernel machine on random features."""
+"""Classifiers: logistic regression and forest; random features; scores of any model."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    LinearSVC,
     LogisticRegression,
-    LogisticRegressionModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -21,7 +18,6 @@ from pyspark.ml.feature import (
     ElementwiseProduct,
     StandardScaler,
     VectorAssembler,
-    VectorSlicer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -32,11 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskflow.contract import FOREST_SETTINGS, SEED
-from riskflow.functions.scalar import seeded_hash
-from riskflow.operators.folds import fold_split
+from riskflow.contract import FOREST_SETTINGS
 from riskflow.operators.perturb import class_weights
-from riskflow.workspace import side_by_side
 
 def build_pipeline(
     features: Sequence[str], label: str, estimator: Estimator, standardize: bool = True
@@ -179,76 +172,6 @@ class RandomFourierFeatures(
         return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped))
 
 
-def platt_calibrate(df: DataFrame, margin: str, label: str) -> LogisticRegressionModel:
-    """Sigmoid from a one-element margin vector to a probability."""
-    return LogisticRegression(
-        featuresCol=margin, labelCol=label, predictionCol="calibrated_prediction",
-        rawPredictionCol="calibrated_raw", probabilityCol="probability",
-    ).fit(df)
-
-
-def train_rbf_svm(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    C: float = 1.0,
-    gamma: float | None = None,
-    n_features: int = 256,
-    seed: int = SEED,
-    standardize: bool = True,
-    calibration_folds: int = 5,
-    id: str = "id",
-    max_iter: int = 100,
-    tol: float = 1e-3,
-) -> PipelineModel:
-    """Soft-margin classifier with an approximated RBF kernel and calibrated probabilities.
-
-    ``prediction`` comes from the sign of the margin and ``probability`` from the
-    calibration, so the two can disagree near the boundary. The calibration is fitted on
-    margins of held-out rows (``calibration_folds`` seeded folds), or on the training
-    margins with 0. ``gamma`` defaults to 1 / number of features, the scale rule for
-    standardised input.
-    """
-    gamma = gamma or 1.0 / len(features)
-
-    def margins(rows: DataFrame) -> Pipeline:
-        svc = LinearSVC(
-            featuresCol="fourier", labelCol=label, rawPredictionCol="margin",
-            regParam=1.0 / (C * rows.count()), maxIter=max_iter, tol=tol,
-            standardization=False,
-        )
-        source = "features" if standardize else "features_raw"
-        pipeline = build_pipeline(features, label, svc, standardize)
-        stages = pipeline.getStages()
-        fourier = RandomFourierFeatures(
-            inputCol=source, outputCol="fourier", nFeatures=n_features, gamma=gamma,
-            inputSize=len(features), seed=seed,
-        )
-        slicer = VectorSlicer(inputCol="margin", outputCol="margin_vector", indices=[1])
-        return Pipeline(stages=[*stages[:-1], fourier, svc, slicer])
-
-    fitted = margins(df).fit(df)
-    if calibration_folds:
-        part = F.pmod(seeded_hash(f"{seed}:calibration", id), F.lit(calibration_folds))
-        split = df.withColumn("_part", part)
-
-        def held_out(i: int) -> DataFrame:
-            rest, part_i = fold_split(split, i, "_part")
-            return margins(rest).fit(rest).transform(part_i).select(label, "margin_vector")
-
-        parts = side_by_side(df.sparkSession, held_out, range(calibration_folds), calibration_folds)
-        held = reduce(DataFrame.unionByName, parts)
-    else:
-        held = fitted.transform(df).select(label, "margin_vector")
-    return PipelineModel([*fitted.stages, platt_calibrate(held, "margin_vector", label)])
-
-
-def margin_support_count(df: DataFrame, margin: str, label: str) -> int:
-    """Rows on or inside the margin: (2 label - 1) * margin <= 1."""
-    signed = (F.lit(2.0) * F.col(label) - F.lit(1.0)) * F.col(margin)
-    return df.agg(F.count_if(signed <= 1.0)).collect()[0][0]
-
-
 def score_model(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Model output plus ``score``, the probability of class 1."""
     return model.transform(df).withColumn("score", vector_to_array("probability")[1])

@@ -9,7 +9,6 @@ from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +31,14 @@ from riskflow.operators.columns import (
 from riskflow.operators.folded_logreg import cross_validate_logreg
 from riskflow.operators.folds import fold_split, ordered_folds, random_folds, stratified_folds
 from riskflow.operators.impute import apply_fill, fit_fill
+from riskflow.operators.kernel_machine import KernelMachineModel, train_rbf_svm
 from riskflow.operators.models import (
     build_pipeline,
     forest_estimator,
-    margin_support_count,
+    stage_of,
     train_final,
     train_forest,
     train_logreg,
-    train_rbf_svm,
 )
 from riskflow.operators.perturb import flip_labels, gaussian_jitter
 from riskflow.operators.scaling import Moments, apply_standardize, fit_standardize
@@ -219,15 +218,14 @@ def knn_params(experiment: Experiment, neighbors: int = 5) -> Params:
 
 
 def last_fold_support(experiment: Experiment, k: int = C.FOLDS, **settings) -> int:
-    """Training rows on or inside the margin of the model that left out the last fold."""
+    """Support vectors (non-zero multipliers) of the model that left out the last fold."""
     features = experiment.features
     scaled = apply_standardize(experiment.data, _scaler(experiment))
     train, _ = fold_split(scaled, k - 1)
     model = train_rbf_svm(
         train, features, C.LABEL, standardize=False, calibration_folds=0, **settings
     )
-    margins = model.transform(train).withColumn("_m", vector_to_array("margin")[1])
-    return margin_support_count(margins, "_m", C.LABEL)
+    return sum(stage_of(model, KernelMachineModel).support_counts())
 
 
 def svm_params(experiment: Experiment, n_support: int, C_value: float = 1.0) -> Params:

@@ -311,7 +311,27 @@ def _optimal(folds: str) -> str:
 FROM range(5) k(f), (VALUES {names}) n(feature)"""
 
 
+# Newton steps of the calibrating sigmoid over 4,096 bins of the margins' range.
+_PLATT = f"""{FILLED.replace("WITH ", "WITH RECURSIVE ", 1)},
+scored AS (SELECT depression, round(ln(p / (1 - p)), 9) AS m FROM (SELECT depression, {P_SQL} AS p FROM filled)),
+span AS (SELECT min(m) AS low, (max(m) - min(m)) / 4096e0 AS width FROM scored),
+bins AS (SELECT avg(m) AS m, count(*) FILTER (depression = 0) AS neg, count(*) FILTER (depression = 1) AS pos
+  FROM scored, span GROUP BY least(floor((m - low) / width), 4095)),
+total AS (SELECT sum(neg)::DOUBLE AS n, sum(pos)::DOUBLE AS p FROM bins),
+aims AS (SELECT m, neg + pos AS c, pos * (p + 1) / (p + 2) + neg / (n + 2) AS aim FROM bins, total),
+newton AS (SELECT 0 AS turn, 0e0 AS a, ln((p + 1) / (n + 1)) AS b FROM total
+  UNION ALL
+  SELECT turn + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab),
+    b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT turn, a, b, sum(m * (c * q - aim)) AS ga, sum(c * q - aim) AS gb, sum(m * m * c * q * (1 - q)) AS haa,
+      sum(m * c * q * (1 - q)) AS hab, sum(c * q * (1 - q)) AS hbb
+    FROM (SELECT *, 1e0 / (1e0 + exp(-(a * m + b))) AS q FROM newton, aims WHERE turn < 25) GROUP BY turn, a, b))
+SELECT (SELECT count(*) FROM bins) AS bins, n::BIGINT AS negatives, p::BIGINT AS positives,
+  {_r('a', 'slope')}, {_r('b', 'intercept')} FROM newton, total WHERE turn = 25"""
+
+
 ORACLES: dict[str, str] = {
+    "platt_fit": _PLATT,
     "logreg_gradients": _optimal(
         f"{SURVEY}, folds AS (SELECT CAST({_hash('42', 'id')} % 5 AS INTEGER) AS fold FROM survey)"
     ),

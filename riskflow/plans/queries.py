@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +35,18 @@ from riskflow.operators.evaluate import (
 from riskflow.operators.folded_logreg import fit_logreg_folds, fold_gradients
 from riskflow.operators.folds import ordered_folds, random_folds, stratified_folds
 from riskflow.operators.impute import apply_fill, feature_stats, fit_fill
+from riskflow.operators.kernel_machine import (
+    KernelMachineModel,
+    fit_platt,
+    margin_bins,
+    train_rbf_svm,
+)
 from riskflow.operators.models import (
     feature_importance,
     score_model,
     train_forest,
+    stage_of,
     train_logreg,
-    train_rbf_svm,
 )
 from riskflow.operators.neighbors import approx_knn_join, knn_classify, knn_join
 from riskflow.operators.perturb import class_weights, flip_labels, gaussian_jitter
@@ -680,17 +685,26 @@ def cv_rbf_svm(spark, sf_dir):
 
 
 def margin_support(spark, sf_dir):
-    """Rows on or inside the margin of the kernel machine trained on all rows."""
-    scaled = apply_standardize(
-        _filled(spark, sf_dir), fit_standardize(_filled(spark, sf_dir), C.FEATURES)
-    )
-    df = stage(scaled, "scaled")
-    model = train_rbf_svm(df, C.FEATURES, C.LABEL, standardize=False, calibration_folds=0)
-    margins = model.transform(df).withColumn("margin", vector_to_array("margin")[1])
-    signed = (F.lit(2.0) * F.col(C.LABEL) - 1) * F.col("margin")
-    return margins.groupBy(C.LABEL).agg(
-        F.count("*").alias("rows"), F.count_if(signed <= 1.0).alias("support")
+    """Support vectors of each class of the kernel machine trained on all rows."""
+    df = _filled(spark, sf_dir)
+    scaled = apply_standardize(df, fit_standardize(df, C.FEATURES))
+    model = train_rbf_svm(scaled, C.FEATURES, C.LABEL, standardize=False)
+    counts = enumerate(stage_of(model, KernelMachineModel).support_counts())
+    support = spark.createDataFrame(list(counts), f"{C.LABEL} int, support long")
+    rows = df.groupBy(F.col(C.LABEL).cast("int").alias(C.LABEL)).agg(F.count("*").alias("rows"))
+    return rows.join(support, C.LABEL).select(C.LABEL, "rows", "support")
+
+
+def platt_fit(spark, sf_dir):
+    """The calibrating sigmoid over binned margins of the stored model."""
+    scored = score_params(_filled(spark, sf_dir), stored_params())
+    margin = F.round(F.log(F.col("probability") / (1 - F.col("probability"))), 9)
+    rows = stage(scored.select(margin.alias("margin"), C.LABEL), "platt")
+    slope, intercept = fit_platt(rows, "margin", C.LABEL)
+    total = margin_bins(rows, "margin", C.LABEL).agg(
+        F.count("*").alias("bins"), F.sum("negatives").alias("negatives"), F.sum("positives").alias("positives")
     )
+    return _round(total.select("*", F.lit(slope).alias("slope"), F.lit(intercept).alias("intercept")), "slope", "intercept")
 
 
 def neighbor_params(spark, sf_dir):
@@ -713,9 +727,9 @@ def neighbor_params(spark, sf_dir):
 
 
 def forest_summary_query(spark, sf_dir):
-    """Importances of a small forest as the written summary holds them."""
+    """Importances of the forest as the written summary holds them."""
     df = clean(survey(spark, sf_dir), "median")
-    model = train_forest(df, C.FEATURES, C.LABEL, numTrees=20, maxDepth=5)
+    model = train_forest(df, C.FEATURES, C.LABEL)
     path = fresh_path(spark, "summary")
     write_forest_summary(spark, model, path, avg_accuracy=0.0)
     back = spark.read.json(path)
@@ -814,6 +828,7 @@ QUERIES: dict[str, Query] = {
     "feature_importance": feature_importance_query,
     "forest_summary": forest_summary_query,
     "margin_support": margin_support,
+    "platt_fit": platt_fit,
     "neighbor_params": neighbor_params,
     "params_export": params_export,
 }

@@ -13,16 +13,15 @@ from riskflow import contract as C
 from riskflow.functions.scalar import seeded_normal
 from riskflow.operators.evaluate import auc_exact
 from riskflow.operators.folds import random_folds
+from riskflow.operators.kernel_machine import KernelMachineModel, fit_platt, rbf, train_rbf_svm
 from riskflow.operators.models import (
     build_pipeline,
     feature_importance,
-    margin_support_count,
     score_model,
     stage_of,
     train_final,
     train_forest,
     train_logreg,
-    train_rbf_svm,
 )
 from riskflow.operators.scoring import score_params, score_requests
 from riskflow.operators.validate import cross_validate, cross_validate_knn
@@ -175,7 +174,7 @@ def ring(spark):
 
 def test_kernel_machine_learns_what_a_line_cannot(spark, ring, tmp_path):
     model = train_rbf_svm(
-        ring, ["a", "b"], "y", gamma=0.5, n_features=48, calibration_folds=2, max_iter=20,
+        ring, ["a", "b"], "y", gamma=0.5, n_features=48, calibration_folds=2,
     )
     scored = score_model(model, ring)
     curved = auc_exact(scored, "y", "score").collect()[0].auc
@@ -183,9 +182,7 @@ def test_kernel_machine_learns_what_a_line_cannot(spark, ring, tmp_path):
     assert curved > 0.95 > auc_exact(line, "y", "score").collect()[0].auc
     row = scored.select("prediction", "score").first()
     assert row.prediction in (0.0, 1.0) and 0 < row.score < 1
-    support = margin_support_count(
-        scored.withColumn("m", vector_to_array("margin")[1]), "m", "y"
-    )
+    support = sum(stage_of(model, KernelMachineModel).support_counts())
     assert 0 < support < 500
     save_model(model, str(tmp_path / "svm"))
     back = score_model(load_model(str(tmp_path / "svm")), ring)
@@ -193,6 +190,43 @@ def test_kernel_machine_learns_what_a_line_cannot(spark, ring, tmp_path):
     assert gap.agg(F.max(F.abs(F.col("s") - F.col("score")))).collect()[0][0] < 1e-12
 
 
+def test_kernel_machine_is_as_good_as_an_exact_solve(spark, ring, monkeypatch):
+    """Several blocks and calibration parts against coordinate descent on the whole kernel."""
+    monkeypatch.setattr("riskflow.operators.kernel_machine.BLOCK_ROWS", 150)
+    train, test = ring.filter("id < 400"), ring.filter("id >= 400")
+    model = train_rbf_svm(
+        train, ["a", "b"], "y", gamma=0.5, n_features=64, calibration_folds=3, standardize=False, tol=0.005,
+    )
+    ours = auc_exact(score_model(model, test), "y", "score").collect()[0].auc
+    rows, held = train.toPandas(), test.toPandas()
+    x, y = rows[["a", "b"]].to_numpy(), rows["y"].to_numpy() * 2.0 - 1.0
+    kernel = rbf(x, x, 0.5) + 1.0
+    alpha = np.zeros(len(y))
+    for _ in range(200):
+        for i in range(len(y)):
+            slope = 1.0 - y[i] * (kernel[i] @ (alpha * y))
+            alpha[i] = min(max(alpha[i] + slope / kernel[i, i], 0.0), 1.0)
+    exact = (rbf(held[["a", "b"]].to_numpy(), x, 0.5) + 1.0) @ (alpha * y)
+    scored = spark.createDataFrame(
+        list(zip(held["y"].tolist(), exact.tolist())), "y int, score double"
+    )
+    assert ours > auc_exact(scored, "y", "score").collect()[0].auc - 0.01
+    support = sum(stage_of(model, KernelMachineModel).support_counts())
+    assert abs(support - int((alpha > 1e-9).sum())) < 40
+
+
+def test_calibration_is_optimal_on_the_rows_themselves(spark, ring):
+    rows = ring.select((1.3 - F.col("a") ** 2 + F.col("b")).alias("m"), "y")
+    slope, intercept = fit_platt(rows, "m", "y", bins=100_000)
+    p = rows.toPandas()
+    m, y = p["m"].to_numpy(), p["y"].to_numpy()
+    aim = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    off = 1 / (1 + np.exp(-(slope * m + intercept))) - aim
+    assert abs(off.sum()) < 1e-6 and abs((off * m).sum()) < 1e-2
+    assert fit_platt(rows.limit(0), "m", "y") == (0.0, 0.0)
+    assert fit_platt(rows.filter("y = 1"), "m", "y")[1] > 0
+
+
 def test_cross_validation_scores_every_row_out_of_fold(linear):
     df = random_folds(linear)
     trainer = partial(train_logreg, features=XS, label="y")
