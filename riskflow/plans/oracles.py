@@ -330,7 +330,25 @@ SELECT (SELECT count(*) FROM bins) AS bins, n::BIGINT AS negatives, p::BIGINT AS
   {_r('a', 'slope')}, {_r('b', 'intercept')} FROM newton, total WHERE turn = 25"""
 
 
+_LINE_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_BY_FOLD = f"""WITH lines AS (SELECT {_LINE_KEYS}, CAST(l_orderkey % 5 AS INTEGER) AS fold,
+  CASE WHEN l_partkey % 7 <> 0 THEN CAST(l_quantity AS DOUBLE) END AS l_quantity,
+  CASE WHEN l_partkey % 11 <> 0 THEN CAST(l_extendedprice AS DOUBLE) END AS l_extendedprice FROM lineitem),
+cells AS (SELECT fold, 'l_quantity' AS feature, l_quantity AS x FROM lines
+  UNION ALL SELECT fold, 'l_extendedprice', l_extendedprice FROM lines),
+held AS (SELECT h.fold, feature, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std, stddev_pop(x) AS std_pop
+  FROM (SELECT DISTINCT fold FROM lines) h JOIN cells c ON c.fold <> h.fold GROUP BY h.fold, feature),
+q AS (SELECT fold, mean AS qm, std AS qs FROM held WHERE feature = 'l_quantity'),
+e AS (SELECT fold, mean AS em, std AS es FROM held WHERE feature = 'l_extendedprice')"""
+
 ORACLES: dict[str, str] = {
+    "fold_moments": f"""{_BY_FOLD} SELECT fold, feature, n, {_r('mean', 'mean')}, {_r('std', 'std')},
+  {_r('std_pop', 'std_pop')} FROM held""",
+    "fold_approx_median": f"""{_BY_FOLD} SELECT fold, feature, n AS rows, true AS within FROM held""",
+    "fill_mean_by_fold": f"""{_BY_FOLD} SELECT {_LINE_KEYS}, fold, {_r('coalesce(l_quantity, qm)', 'l_quantity')},
+  {_r('coalesce(l_extendedprice, em)', 'l_extendedprice')} FROM lines JOIN q USING (fold) JOIN e USING (fold)""",
+    "standardize_by_fold": f"""{_BY_FOLD} SELECT {_LINE_KEYS}, fold, {_r('(l_quantity - qm) / qs', 'l_quantity')},
+  {_r('(l_extendedprice - em) / es', 'l_extendedprice')} FROM lines JOIN q USING (fold) JOIN e USING (fold)""",
     "platt_fit": _PLATT,
     "logreg_gradients": _optimal(
         f"{SURVEY}, folds AS (SELECT CAST({_hash('42', 'id')} % 5 AS INTEGER) AS fold FROM survey)"
@@ -425,6 +443,7 @@ SELECT id, {_r('p', 'probability')}, CAST(floor(p * 100) AS INTEGER) AS percent,
   CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction FROM prob""",
     "score_requests": ANSWERS,
     "stream_score": ANSWERS,
+    "stream_score_once": ANSWERS,
     "global_rank_lineitem": f"""SELECT l_quantity, {_LINE_KEY},
   row_number() OVER (ORDER BY l_quantity, {_LINE_KEY}) AS rank FROM lineitem""",
     "global_rank_text": """SELECT source, 'doc-' || doc_id AS name,

@@ -32,6 +32,7 @@ from riskflow.operators.evaluate import (
     roc_curve,
     weighted_metrics,
 )
+from riskflow.operators.fold_stats import fill_by_fold, fold_states, held_out_stats, standardize_by_fold
 from riskflow.operators.folded_logreg import fit_logreg_folds, fold_gradients
 from riskflow.operators.folds import ordered_folds, random_folds, stratified_folds
 from riskflow.operators.impute import apply_fill, feature_stats, fit_fill
@@ -71,6 +72,7 @@ from riskflow.sources.parameters import (
     fallback_params,
     load_model,
     params_to_df,
+    publish_params,
     read_params,
     save_model,
     stored_params,
@@ -84,7 +86,7 @@ from riskflow.sources.survey import (
     read_survey_lenient,
     split_bad_rows,
 )
-from riskflow.streaming.score_stream import start_scoring
+from riskflow.streaming.score_stream import start_scoring, start_scoring_once
 from riskflow.workspace import fresh_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,6 +427,18 @@ def stream_score(spark, sf_dir):
     return _answers(spark.read.parquet(out))
 
 
+def stream_score_once(spark, sf_dir):
+    """Every request is sent two times, the second a minute later, and answered once."""
+    schema = _table(spark, sf_dir, "customer").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
+    sent = _requests(as_survey(stream)).withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    sent = sent.withColumn("sent_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60)).drop("turn")
+    out, params, checkpoint = (fresh_path(spark, n) for n in ("answers", "published", "answers-checkpoint"))
+    publish_params(spark, stored_params(), params)
+    start_scoring_once(sent, params, out, checkpoint, available_now=True).awaitTermination()
+    return _answers(spark.read.parquet(out))
+
+
 # --- ranks and folds ------------------------------------------------------------------
 
 
@@ -619,6 +633,53 @@ def fold_report_mixed(spark, sf_dir):
     return _report(cv_report(_scored(spark, sf_dir), "mixed", ddof=1))
 
 
+# --- statistics within folds ------------------------------------------------------------
+
+
+def _lines_by_fold(spark, sf_dir) -> DataFrame:
+    """Lines with gaps in two columns; folds come from the order key."""
+    gap = lambda c, k: F.when(F.col("l_partkey") % k != 0, F.col(c).cast("double")).alias(c)
+    return _table(spark, sf_dir, "lineitem").select(
+        *LINE_KEY[:4], (F.col("l_orderkey") % 5).cast("int").alias("fold"),
+        gap("l_quantity", 7), gap("l_extendedprice", 11),
+    )
+
+
+def fold_moments(spark, sf_dir):
+    stats = held_out_stats(fold_states(_lines_by_fold(spark, sf_dir), LINE_FEATURES[:2]))
+    return _round(stats.drop("quantile"), "mean", "std", "std_pop")
+
+
+def fold_approx_median(spark, sf_dir):
+    """Whether the sketched median of the rows outside each fold has a rank within 1 % of the middle."""
+    lines = _lines_by_fold(spark, sf_dir)
+    stats = held_out_stats(fold_states(lines, LINE_FEATURES[:2])).select(
+        F.col("fold").alias("held"), "feature", "quantile"
+    )
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in LINE_FEATURES[:2]
+    ]))
+    values = lines.select("fold", cells.alias("r")).select("fold", "r.*").where("x is not null")
+    ranked = values.join(F.broadcast(stats), "feature").where("fold <> held").groupBy(
+        F.col("held").alias("fold"), "feature"
+    ).agg(
+        F.count("*").alias("rows"),
+        (F.avg((F.col("x") < F.col("quantile")).cast("int")) <= 0.51).alias("low"),
+        (F.avg((F.col("x") <= F.col("quantile")).cast("int")) >= 0.49).alias("high"),
+    )
+    return ranked.select("fold", "feature", "rows", (F.col("low") & F.col("high")).alias("within"))
+
+
+def fill_mean_by_fold(spark, sf_dir):
+    filled = fill_by_fold(_lines_by_fold(spark, sf_dir), LINE_FEATURES[:2])
+    return _round(filled, *LINE_FEATURES[:2])
+
+
+def standardize_by_fold_query(spark, sf_dir):
+    scaled = standardize_by_fold(_lines_by_fold(spark, sf_dir), LINE_FEATURES[:2])
+    return _round(scaled, *LINE_FEATURES[:2])
+
+
 # --- bootstrap ------------------------------------------------------------------------
 
 
@@ -782,6 +843,7 @@ QUERIES: dict[str, Query] = {
     "score_details": score_details_query,
     "score_requests": score_requests_query,
     "stream_score": stream_score,
+    "stream_score_once": stream_score_once,
     "global_rank_lineitem": global_rank_lineitem,
     "global_rank_text": global_rank_text,
     "global_rank_bigint": global_rank_bigint,
@@ -814,6 +876,10 @@ QUERIES: dict[str, Query] = {
     "fold_report_params": fold_report_params,
     "fold_report_weighted": fold_report_weighted,
     "fold_report_mixed": fold_report_mixed,
+    "fold_moments": fold_moments,
+    "fold_approx_median": fold_approx_median,
+    "fill_mean_by_fold": fill_mean_by_fold,
+    "standardize_by_fold": standardize_by_fold_query,
     "bootstrap_weights": bootstrap_weights_query,
     "bootstrap_metrics": bootstrap_metrics_query,
     "bootstrap_report": bootstrap_report_query,

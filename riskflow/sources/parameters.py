@@ -102,6 +102,36 @@ def read_params(spark: SparkSession, path: str, default: Params | None = None) -
     return Params(**rows[0].asDict())
 
 
+def publish_params(spark: SparkSession, params: Params, path: str) -> int:
+    """Write the record as the next version below ``path``; versions start at 1.
+
+    A version is seen only once it is whole. One writer at a time: two that publish together
+    raise or overwrite each other.
+    """
+    version = (latest_version(spark, path) or 0) + 1
+    params_to_df(spark, params).coalesce(1).write.mode("errorifexists").json(f"{path}/version={version}")
+    return version
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The highest version below ``path`` that holds a record, or None."""
+    try:
+        rows = spark.read.schema("version long, means array<double>").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return None
+    return rows.where("means is not null").agg({"version": "max"}).collect()[0][0]
+
+
+def current_params(spark: SparkSession, path: str) -> tuple[int, Params]:
+    """The latest version and its record; raises when there is none."""
+    version = latest_version(spark, path)
+    if version is None:
+        raise ValueError(f"no published parameters below {path}")
+    return version, read_params(spark, f"{path}/version={version}")
+
+
 def write_forest_summary(
     spark: SparkSession,
     model: PipelineModel,

@@ -12,8 +12,8 @@ from riskflow.plans import flows
 from riskflow.plans.oracles import ORACLES
 from riskflow.plans.queries import QUERIES, RAW_NAMES
 from riskflow.plans.survey_view import survey
-from riskflow.sources.parameters import read_params, stored_params
-from riskflow.streaming.score_stream import read_requests, start_scoring
+from riskflow.sources.parameters import current_params, fallback_params, publish_params, read_params, stored_params
+from riskflow.streaming.score_stream import read_requests, start_scoring, start_scoring_once
 
 
 @pytest.fixture(scope="module")
@@ -113,6 +113,42 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert drain() == sorted(map(str, batch.collect()))
 
 
+def test_stream_answers_once_and_follows_published_parameters(spark, tmp_path):
+    """Repeated, late, too late and nameless requests; new parameters without a restart."""
+    inbox, published = tmp_path / "inbox", str(tmp_path / "published")
+    inbox.mkdir()
+    with pytest.raises(ValueError):
+        current_params(spark, published)
+    assert publish_params(spark, stored_params(), published) == 1
+    stream = read_requests(spark, str(inbox), REQUEST_SCHEMA + ", sent_at timestamp", max_files=1)
+    out = str(tmp_path / "out")
+    query = start_scoring_once(stream, published, out, str(tmp_path / "checkpoint"), late="10 minutes")
+
+    def send(name, *requests):
+        lines = [json.dumps({**REQUESTS[0], "id": i, "sent_at": t}) for i, t in requests]
+        (inbox / f".{name}").write_text("\n".join(lines))
+        (inbox / f".{name}").rename(inbox / f"{name}.json")
+        query.processAllAvailable()
+        return sorted(
+            ((r.id, r.version) for r in spark.read.parquet(out).select("id", "version").collect()),
+            key=str,
+        )
+
+    try:
+        at = "2026-01-01T10:{}:00Z".format
+        assert send("a", (1, at("00")), (1, at("01")), (2, at("05"))) == [(1, 1), (2, 1)]
+        assert publish_params(spark, fallback_params(), published) == 2
+        # 1 is repeated; 3 is late but within the watermark; 4 and a nameless one are new.
+        got = send("b", (1, at("06")), (3, at("01")), (4, at("30")), (None, at("30")), (None, at("30")))
+        assert got == [(1, 1), (2, 1), (3, 2), (4, 2), (None, 2)]
+        # By now the watermark stands at 10:20, so 5 is too late and 6, without a time, is not.
+        assert send("c", (5, at("02")), (6, None)) == [*got[:4], (6, 2), got[4]]
+        chance = {r.id: r.probability for r in spark.read.parquet(out).collect()}
+        assert chance[1] == chance[2] != chance[3] == chance[4]
+    finally:
+        query.stop()
+
+
 def test_driver_contract(spark, small_dir):
     import __spark_entry__ as entry
 

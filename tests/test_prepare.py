@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskflow.functions.scalar import poisson_one, seeded_normal, seeded_uniform
+from riskflow.operators.fold_stats import fill_by_fold, fold_states, held_out_stats, standardize_by_fold
 from riskflow.operators.folds import fold_split, ordered_folds, random_folds, stratified_folds
 from riskflow.operators.impute import apply_fill, feature_stats, fit_fill
 from riskflow.operators.perturb import class_weights, flip_labels, gaussian_jitter
@@ -322,3 +323,36 @@ def test_class_weight_columns_stand_alike_at_any_class_count(spark, monkeypatch)
     many = class_weights(df, "y")
     assert few.columns == many.columns == ["id", "y", "z", "weight"]
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_statistics_of_the_other_folds_equal_a_scan_of_them(spark):
+    """Merged states against each fold's own scan; far-off means, gaps, a null fold."""
+    df = spark.range(900).select(
+        "id", F.when(F.col("id") % 4 < 3, (F.col("id") % 4).cast("int")).alias("fold"),
+        F.when(F.col("id") % 5 > 0, F.lit(1e9) + seeded_uniform("s", "id")).alias("a"),
+        F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).otherwise(float("nan")).alias("b"),
+    )
+    got = {(r.fold, r.feature): r for r in held_out_stats(fold_states(df, ["a", "none", "b"])).collect()}
+    assert len(got) == 12
+    rows = df.toPandas()
+    rows["fold"] = rows["fold"].astype(object).where(rows["fold"].notna(), None)
+    for (fold, name), r in got.items():
+        outside = rows["fold"].notna() if fold is None else rows["fold"] != fold
+        x = rows[outside][name].dropna()
+        assert r.n == len(x)
+        if name == "none":
+            assert r.mean is None and r["quantile"] is None
+            continue
+        assert r.mean == pytest.approx(x.mean()) and r.std == pytest.approx(x.std(), rel=1e-4)
+        rank = (x <= r["quantile"]).mean()
+        assert abs(rank - 0.5) < 0.01
+    filled = fill_by_fold(df, ["a", "b", "none"], "median")
+    row = filled.filter("id = 0").first()
+    assert row.a == got[0, "a"]["quantile"] and row.b == got[0, "b"]["quantile"] and row.none is None
+    assert filled.count() == 900
+    z = standardize_by_fold(df, ["b"]).filter("id = 1").first().b
+    assert z == pytest.approx((1 - got[1, "b"].mean) / got[1, "b"].std)
+    assert fold_states(df.limit(0), ["a"]).count() == 0
+    with pytest.raises(ValueError):
+        fold_states(spark.range(1001).select(F.col("id").alias("fold"), F.col("id").alias("a")), ["a"])
