@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskflow.operators.impute import present
 from riskflow.workspace import collect_bounded, stage
@@ -70,9 +71,12 @@ def held_out_stats(states: DataFrame, probability: float = 0.5) -> DataFrame:
     shift = states.groupBy("feature").agg(
         (F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))).alias("shift")
     )
-    folds = states.select(F.col("fold").alias("held")).distinct()
+    kind = states.schema["fold"].dataType
+    folds = [r.fold for r in collect_bounded(states.select("fold").distinct(), MAX_FOLDS) or []]
+    held = F.array(*[F.lit(f).cast(kind) for f in folds]).cast(T.ArrayType(kind))
     shifted = states.join(F.broadcast(shift), "feature").withColumn("mean", F.col("mean") - F.col("shift"))
-    others = shifted.join(F.broadcast(folds), ~F.col("fold").eqNullSafe(F.col("held")))
+    outside = F.filter(held, lambda f: ~f.eqNullSafe(F.col("fold")))
+    others = shifted.withColumn("held", F.explode(outside))
     merged = others.groupBy(F.col("held").alias("fold"), "feature", "shift").agg(*_merge())
     # A sketch of nothing has no quantile to ask for.
     quantile = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(probability)))
