@@ -1,9 +1,10 @@
 """Global order without a single partition.
 
-``Window.orderBy`` with no partition key sends every row to one task. Here the rows
-are cut into buckets by literal split points, ranked inside each bucket, and shifted
-by the number of rows in the buckets before it. Bucketing depends on values only, so
-evaluating it twice, or again after an executor is lost, gives the same answer.
+``Window.orderBy`` with no partition key sends every row to one task. Here the rows are
+exchanged by ranges of (key, tie-breakers), sorted inside each range, numbered in that
+order and written. The written number says which range a row stands in and where, so a
+rank is the number less that of the range's first row, plus the rows of the ranges before:
+no bound is ever searched row by row, and the table fixes the ranges whoever reads it again.
 
 ``hash_cutoffs`` answers the cheaper question "which row has rank r" for rows in hash
 order: a few histograms, and no shuffle of the rows at all.
@@ -13,118 +14,79 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, TimestampNTZType, TimestampType
 
 from riskflow.functions.scalar import HASH_BITS
-from riskflow.workspace import collect_bounded
+from riskflow.workspace import collect_bounded, stage
 
-_MAX_BUCKETS = 65536
-_BUCKET_ROWS = 1_000_000
-_OVERSAMPLE = 8
-_BOUND_CHARS = 256
-_HASH_SPACE = 1 << 40
+_MAX_RANGES = 65536
+_RANGE_ROWS = 1_000_000
+_SMALL_RANGE_ROWS = 10_000
+_NUMBER_BITS = 33
 _RADIX_BITS = 12
 _FETCH_ROWS = 512
 _SKETCH_ACCURACY = 10000
 _MAX_GROUPS = 256
 
 
-@dataclass(frozen=True)
-class Splits:
-    """Literal bucket bounds in rank order: an order key and, if there is one, a tie-breaker."""
-
-    bounds: tuple[tuple, ...]
-
-
 def _as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _comparable(df: DataFrame, c: Column | str) -> Column:
-    """The column in a type of the same order whose values stay exact as literals."""
-    c = _as_column(c)
-    kind = df.select(c).schema[0].dataType
-    if isinstance(kind, TimestampType):
-        return F.unix_micros(c)
-    return c.cast("string") if isinstance(kind, TimestampNTZType) else c
-
-
 def _first(c: Column, descending: bool) -> Column:
     return c.desc_nulls_first() if descending else c.asc_nulls_first()
 
 
-def _before(a: Column, b: Column, descending: bool) -> Column:
-    """True if value ``a`` stands strictly before ``b``; null comes first in both directions."""
-    ahead = a > b if descending else a < b
-    return F.coalesce(ahead, a.isNull() & b.isNotNull())
+def _range_count(df: DataFrame) -> int:
+    """One range for a million rows; small inputs use the session's partitions."""
+    rows = df.count()
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(min(partitions, rows // _SMALL_RANGE_ROWS), rows // _RANGE_ROWS, 1), _MAX_RANGES)
 
 
-def bucket_splits(
+def _numbered(
     df: DataFrame,
     order_by: Column | str,
-    tie_breaker: Column | str | None = None,
-    descending: bool = False,
-    buckets: int | None = None,
-) -> Splits:
-    """Split points at even distances in a sample of distinct (key, tie-breaker) pairs.
+    tie_breaker: str | Sequence[str] | None,
+    groups: Sequence[str],
+    descending: bool,
+    ranges: int | None,
+) -> DataFrame:
+    """Staged rows with ``_at``, which grows with the order, and their ``_place``.
 
-    The pairs compare in the columns' own order, so any sortable type will do, and a key
-    value that fills several buckets is cut by its tie-breakers. The number of buckets
-    grows with the number of rows. The sample is drawn by value and holds a fixed number
-    of pairs for each bucket; bounds are cut to ``_BOUND_CHARS`` characters.
+    ``_at`` is a range's number times 2^33 plus the position inside the range; ``_place``
+    holds the groups and the range. A struct is never null itself, so rows of a null group
+    keep their place.
     """
-    given = [c for c in (order_by, tie_breaker) if c is not None]
-    keys = [_comparable(df, c).alias(f"_k{i}") for i, c in enumerate(given)]
-    places = df.select(*keys)
-    pair = F.xxhash64(*places.columns)
-    rows, pairs = places.agg(F.count("*"), F.approx_count_distinct(pair, 0.02)).collect()[0]
-    if buckets is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(2 * partitions, rows // _BUCKET_ROWS)
-    buckets = min(max(buckets, 2), _MAX_BUCKETS)
-    wanted = _OVERSAMPLE * buckets
-    if pairs > wanted:
-        places = places.filter(
-            F.pmod(pair, F.lit(_HASH_SPACE)) < F.lit(_HASH_SPACE * wanted // pairs)
-        )
-    short = {
-        f.name: F.substring(f.name, 1, _BOUND_CHARS)
-        for f in places.schema if isinstance(f.dataType, StringType | BinaryType)
-    }
-    order = [_first(F.col(c), descending and i == 0) for i, c in enumerate(places.columns)]
-    sample = places.withColumns(short) if short else places
-    found = [tuple(r) for r in sample.distinct().orderBy(*order).collect()]
-    marks = sorted({len(found) * i // buckets for i in range(1, buckets)} - {0})
-    return Splits(tuple(found[i] for i in marks))
-
-
-def _bucket(df: DataFrame, keys: Sequence[Column], splits: Splits, descending: bool) -> Column:
-    """How many bounds a row has reached, by binary search in the literal bounds."""
-    many = len(splits.bounds)
-    if not many:
-        return F.lit(0)
-    kinds = [df.select(k).schema[0].dataType for k in keys]
-    bounds = [
-        F.array(*[F.lit(b[i]).cast(kind) for b in splits.bounds]) for i, kind in enumerate(kinds)
-    ]
-
-    def step(reached: Column, width: Column) -> Column:
-        at = reached + width
-        bound = [F.get(b, at - F.lit(1)) for b in bounds]
-        passed = _before(bound[0], keys[0], descending)
-        same = bound[0].eqNullSafe(keys[0])
-        if len(keys) > 1:
-            same = same & ~_before(keys[1], bound[1], False)
-        return F.when((at <= F.lit(many)) & (passed | same), at).otherwise(reached)
-
-    widths = [1 << i for i in reversed(range(many.bit_length()))]
-    return F.aggregate(F.array(*[F.lit(w) for w in widths]), F.lit(0), step)
+    ties = [tie_breaker] if isinstance(tie_breaker, str) else list(tie_breaker or [])
+    order = [_first(F.col(g), False) for g in groups]
+    order += [_first(_as_column(order_by), descending), *[_first(F.col(t), False) for t in ties]]
+    ranged = df.repartitionByRange(ranges or _range_count(df), *order).sortWithinPartitions(*order)
+    staged = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "ordered-ranges")
+    which = F.shiftright("_at", _NUMBER_BITS).alias("_range")
+    return staged.withColumn("_place", F.struct(*groups, which))
+
+
+def _with_offsets(rows: DataFrame, sizes: DataFrame, groups: Sequence[str], sums: Sequence[str],
+                  totals: Mapping[str, str]) -> DataFrame:
+    """``rows`` with ``_o<sum>``, each sum over the group's ranges before, and group totals.
+
+    Without groups there is one row of sizes for a range, so they are broadcast; with
+    groups their number is unknown and left to the planner. Every row has its place.
+    """
+    group = F.struct(*[F.col("_place")[g] for g in groups]) if groups else F.lit(0)
+    scope = Window.partitionBy(group)
+    before = scope.orderBy("_place._range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[c for c in sizes.columns if c not in sums],
+        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_o{v}") for v in sums],
+        *[F.sum(v).over(scope).alias(out) for out, v in totals.items()],
+    )
+    return rows.join(offsets if groups else F.broadcast(offsets), "_place", "left")
 
 
 def running_sum(
@@ -135,58 +97,34 @@ def running_sum(
     by: str | Sequence[str] | None = None,
     descending: bool = False,
     totals: Mapping[str, str] | None = None,
-    splits: Splits | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums in (order_by, tie_breaker) order, separately per ``by``.
 
-    Columns of any sortable type compare in their own order, nulls first. ``values`` maps an output column to the summed
-    expression; ``totals`` maps further output columns to entries of ``values`` and
-    adds their sum over the whole group. Null is a group like any other.
+    Columns of any sortable type compare in their own order, nulls first. ``values`` maps an
+    output column to the summed expression; ``totals`` maps further output columns to entries
+    of ``values`` and adds their sum over the whole group. Null is a group like any other.
+    ``buckets`` sets the number of ranges. A key with very many rows is cut by its
+    tie-breakers. At most a million keys meet on the driver, as a sample for the ranges.
     """
-    ties = [tie_breaker] if isinstance(tie_breaker, str) else list(tie_breaker or [])
     groups = [by] if isinstance(by, str) else list(by or [])
-    totals = totals or {}
-    first_tie = ties[0] if ties else None
-    if splits is None:
-        splits = bucket_splits(df, order_by, first_tie, descending, buckets)
-    sought = [_comparable(df, c) for c in (order_by, first_tie) if c is not None]
-    keyed = df.withColumns(
-        {"_key": _as_column(order_by), "_bucket": _bucket(df, sought, splits, descending)}
-    )
     inputs = {f"_v{i}": expr for i, expr in enumerate(values.values())}
     names = dict(zip(values, inputs))
-    keyed = keyed.withColumns(inputs)
-    # One struct key: it is never null itself, so rows of a null group keep their place and
-    # no null checks are pushed below the aggregates of the input.
-    keyed = keyed.withColumn("_place", F.struct(*groups, "_bucket")).drop("_bucket")
-
-    sizes = keyed.groupBy("_place").agg(*[F.sum(v).alias(f"_s{v}") for v in inputs])
-    group = F.struct(*[F.col("_place")[g] for g in groups]) if groups else F.lit(0)
-    scope = Window.partitionBy(group)
-    before = scope.orderBy("_place._bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_place",
-        *[
-            F.coalesce(F.sum(f"_s{v}").over(before), F.lit(0)).alias(f"_o{v}")
-            for v in inputs
-        ],
-        *[F.sum(f"_s{names[v]}").over(scope).alias(out) for out, v in totals.items()],
-    )
-
+    rows = _numbered(df.withColumns(inputs), order_by, tie_breaker, groups, descending, buckets)
+    sizes = rows.groupBy("_place").agg(*[F.sum(v).alias(v) for v in inputs])
     inside = (
-        Window.partitionBy("_place")
-        .orderBy(_first(F.col("_key"), descending), *ties)
+        Window.partitionBy("_place").orderBy("_at")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    summed = keyed.withColumns({f"_c{v}": F.sum(v).over(inside) for v in inputs})
-    # The join key is the window key, so the rows are not shuffled a second time. Every
-    # row has its offset, so a left join loses and adds nothing.
-    joined = summed.join(offsets, "_place", "left")
+    summed = rows.select(
+        *df.columns, "_place", *[F.sum(v).over(inside).alias(f"_c{v}") for v in inputs]
+    )
+    found = {out: names[v] for out, v in (totals or {}).items()}
+    joined = _with_offsets(summed, sizes, groups, list(inputs), found)
     return joined.select(
         *df.columns,
         *[(F.col(f"_c{v}") + F.col(f"_o{v}")).alias(out) for out, v in names.items()],
-        *totals,
+        *found,
     )
 
 
@@ -198,24 +136,19 @@ def global_rank(
     descending: bool = False,
     out: str = "rank",
     size: str | None = None,
-    splits: Splits | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """1-based position of each row in (order_by, tie_breaker) order, per ``by``.
 
-    ``size`` names a column for the number of rows in the group.
+    ``size`` names a column for the number of rows in the group. The numbers written with
+    the rows give their positions, so the rows are shuffled once, by range, and not again.
     """
-    return running_sum(
-        df,
-        order_by,
-        tie_breaker,
-        {out: F.lit(1).cast("bigint")},
-        by=by,
-        descending=descending,
-        totals={size: out} if size else None,
-        splits=splits,
-        buckets=buckets,
-    )
+    groups = [by] if isinstance(by, str) else list(by or [])
+    rows = _numbered(df, order_by, tie_breaker, groups, descending, buckets)
+    sizes = rows.groupBy("_place").agg(F.min("_at").alias("_start"), F.count("*").alias("_n"))
+    placed = _with_offsets(rows, sizes, groups, ["_n"], {size: "_n"} if size else {})
+    rank = F.col("_at") - F.col("_start") + F.col("_o_n") + F.lit(1).cast("bigint")
+    return placed.select(*df.columns, rank.alias(out), *([size] if size else []))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5) -> DataFrame:
@@ -251,7 +184,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5) -> DataF
         )
     )
     long = df.select(F.explode(inside).alias("p")).select("p.*")
-    counted = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    counted = stage(long.groupBy("feature", "value").agg(F.count("*").alias("n")), "quantile-values")
     summed = running_sum(
         counted, "value", None, {"cum": F.col("n")}, by="feature"
     )

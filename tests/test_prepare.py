@@ -13,7 +13,8 @@ from riskflow.operators.folds import fold_split, ordered_folds, random_folds, st
 from riskflow.operators.impute import apply_fill, feature_stats, fit_fill
 from riskflow.operators.perturb import class_weights, flip_labels, gaussian_jitter
 from riskflow.operators.ranking import (
-    bucket_splits,
+    _numbered,
+    _range_count,
     exact_quantiles,
     global_rank,
     hash_cutoffs,
@@ -100,8 +101,8 @@ def test_global_rank_with_a_heavy_key(spark, partitions):
 
 
 def test_heavy_key_is_cut_by_the_tie_breaker(spark):
-    splits = bucket_splits(_heavy(spark), "k", "id", buckets=16)
-    assert sum(k == 7.0 for k, _ in splits.bounds) >= 4
+    rows = _numbered(_heavy(spark), "k", "id", [], False, 16)
+    assert rows.where("k = 7.0").select("_place").distinct().count() >= 4
 
 
 _KEYS = {
@@ -136,11 +137,25 @@ def test_descending_text_rank(spark):
     assert {r.id: r["rank"] for r in ranked} == {r.id: n + 1 for n, r in enumerate(rows)}
 
 
-def test_buckets_stay_even_when_few_keys_are_collapsed(spark):
+def test_ranges_stay_even_when_few_keys_are_collapsed(spark):
     ties = spark.range(2000).select(F.lit(0.0).alias("k"))
     some = spark.range(20).select((F.col("id") / 20.0 + 0.01).alias("k"))
     rows = ties.union(some).groupBy("k").agg(F.count("*").alias("n"))
-    assert len(bucket_splits(rows, "k", buckets=8).bounds) == 7
+    sizes = [r["count"] for r in _numbered(rows, "k", None, [], False, 7).groupBy("_place").count().collect()]
+    assert len(sizes) == 7 and max(sizes) <= 4
+
+
+def test_ranges_grow_with_the_rows(spark):
+    assert [_range_count(spark.range(n)) for n in (0, 15_000, 500_000, 20_000_000)] == [1, 1, 8, 20]
+
+
+def test_values_of_a_group_cut_by_ranges(spark):
+    """A group with a third of the rows spans ranges; others share one."""
+    df = _heavy(spark, 3000).withColumn("g", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    rows = global_rank(df, "k", "id", by="g", size="n", buckets=12, descending=True).collect()
+    hot = sorted((r for r in rows if r.g == 0), key=lambda r: (-r.k, r.id))
+    assert [r["rank"] for r in hot] == list(range(1, len(hot) + 1)) and {r.n for r in hot} == {len(hot)}
+    assert all(r["rank"] == r.n == 1 for r in rows if r.g != 0) and len(rows) == 3000
 
 
 def test_running_sum_by_group_and_null_group(spark):
@@ -175,11 +190,12 @@ def test_plan_sends_no_rows_to_one_partition(spark, small_dir):
     ranked = global_rank(line, "l_quantity", "l_orderkey")
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     lines = plan.splitlines()
-    # Only the bucket sizes, whose number is bounded, come together in one partition.
+    # Only the sizes of the ranges, whose number is bounded, come together in one partition.
     gathers = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
     assert len(gathers) == 1 and "HashAggregate(keys=[_place" in lines[gathers[0] + 1]
-    # One shuffle of the rows and one of the partial bucket sizes.
-    assert plan.count("Exchange hashpartitioning") == 2
+    # One shuffle, of the partial sizes; the rows meet their offsets where they were read.
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 @pytest.mark.parametrize("n", [10, 700, 3000])
