@@ -14,6 +14,9 @@ from riskflow.functions.scalar import clamp, poisson_one, reliability_tier, seed
 from riskflow.operators.evaluate import confusion, metrics_from_counts
 
 _METRICS = ["accuracy", "f1", "precision", "recall"]
+_CELLS = ["tp", "tn", "fp", "fn"]
+# Counters a row feeds at once; wider rows make generated methods too large to be compiled.
+_BLOCK = 5
 
 
 def bootstrap_weights(
@@ -25,9 +28,44 @@ def bootstrap_weights(
     return drawn.withColumn("weight", weight).filter(F.col("weight") > 0)
 
 
+def _weighted_cells(
+    df: DataFrame, label: str, prediction: str, replicates: int, seed: int, id: str
+) -> DataFrame:
+    """Weighted outcome counts of each replicate, from counters kept beside each outcome.
+
+    A row adds its draws to ``_BLOCK`` counters of its outcome at once, so a task sends on a
+    row of counters per outcome and block of replicates, however many rows it read.
+    """
+    y, p = F.col(label) == 1, F.col(prediction) == 1
+    outcome = F.when(y & p, "tp").when(~y & ~p, "tn").when(~y & p, "fp").when(y & ~p, "fn")
+    rows = df.select(outcome.alias("_cell"), F.col(id).alias("_id"))
+    block = F.lit(0)
+    if replicates > _BLOCK:
+        blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // _BLOCK))
+        rows = rows.withColumn("_block", F.explode(blocks))
+        block = F.col("_block")
+    names = {j: f"_u{j}" for j in range(1, min(replicates, _BLOCK) + 1)}
+    replicate = {j: block * F.lit(_BLOCK) + F.lit(j) for j in names}
+    uniform = rows.select(
+        "_cell", block.alias("_block"),
+        *[seeded_uniform(seed, replicate[j], "_id").alias(u) for j, u in names.items()],
+    )
+    counted = uniform.groupBy("_cell", "_block").agg(
+        *[F.sum(poisson_one(F.col(u))).alias(u) for u in names.values()]
+    )
+    each = F.explode(F.array(*[
+        F.struct((F.col("_block") * F.lit(_BLOCK) + F.lit(j)).alias("replicate"), F.col(u).alias("draws"))
+        for j, u in names.items()
+    ]))
+    drawn = counted.select("_cell", each.alias("_e")).select("_cell", "_e.*")
+    return drawn.where((F.col("replicate") <= replicates) & (F.col("draws") > 0)).groupBy("replicate").agg(
+        *[F.sum(F.when(F.col("_cell") == c, F.col("draws")).otherwise(0)).alias(c) for c in _CELLS]
+    )
+
+
 def _multinomial(seed: int):
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = ["tp", "tn", "fp", "fn"]
+        cells = _CELLS
         for batch in batches:
             counts = batch[cells].to_numpy()
             rows = np.zeros_like(counts)
@@ -53,7 +91,8 @@ def bootstrap_metrics(
 
     ``multinomial`` counts the four outcomes once and draws the counts of a resample of
     exactly n rows, which has the same distribution as drawing the rows one by one: one
-    pass whatever the number of replicates. ``poisson`` weights the rows themselves.
+    pass whatever the number of replicates. ``poisson`` weights the rows themselves; rows whose
+    outcome is unknown count for none, and a replicate that draws no row is left out.
     """
     if mode == "multinomial":
         counts = confusion(df, label, prediction).withColumn(
@@ -62,20 +101,10 @@ def bootstrap_metrics(
         schema = "tp bigint, tn bigint, fp bigint, fn bigint, replicate int"
         cells = counts.mapInPandas(_multinomial(seed), schema)
     elif mode == "poisson":
-        small = df.select(id, label, prediction)
-        weighted = bootstrap_weights(small, replicates, seed, id)
-        y, p = F.col(label) == 1, F.col(prediction) == 1
-
-        def total(test):
-            return F.sum(F.when(test, F.col("weight")).otherwise(0))
-
-        cells = weighted.groupBy("replicate").agg(
-            total(y & p).alias("tp"), total(~y & ~p).alias("tn"),
-            total(~y & p).alias("fp"), total(y & ~p).alias("fn"),
-        )
+        cells = _weighted_cells(df, label, prediction, replicates, seed, id)
     else:
         raise ValueError(f"unknown mode {mode}")
-    metrics = metrics_from_counts(*[F.col(c) for c in ("tp", "tn", "fp", "fn")])
+    metrics = metrics_from_counts(*[F.col(c) for c in _CELLS])
     return cells.select("replicate", *[metrics[m].alias(m) for m in _METRICS])
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from riskflow.contract import RELIABILITY_LOWEST, RELIABILITY_TIERS
+from riskflow.contract import RELIABILITY_LOWEST, RELIABILITY_TIERS, SEED
 from riskflow.functions.scalar import (
     clamp,
     decide,
@@ -18,6 +18,7 @@ from riskflow.functions.scalar import (
     sigmoid,
 )
 from riskflow.operators.bootstrap import (
+    _weighted_cells,
     bootstrap_metrics,
     bootstrap_report,
     bootstrap_weights,
@@ -186,6 +187,22 @@ def test_bootstrap_forms_agree_in_distribution(pred):
     assert (gap["std"].abs() < 0.006).all()
 
 
+@pytest.mark.parametrize("replicates", [7, 130])
+def test_weighted_counters_equal_weighted_rows(pred, replicates):
+    """The counters of a task against one row per draw; a missing label is no outcome."""
+    pred = pred.withColumn("label", F.when(F.col("id") % 11 != 0, F.col("label")))
+    y, p = F.col("label") == 1, F.col("prediction") == 1
+    total = lambda test: F.sum(F.when(test, F.col("weight")).otherwise(0))
+    want = bootstrap_weights(pred, replicates).groupBy("replicate").agg(
+        total(y & p), total(~y & ~p), total(~y & p), total(y & ~p)
+    )
+    got = _weighted_cells(pred, "label", "prediction", replicates, SEED, "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == replicates
+    alone = _weighted_cells(pred.where("id = 5"), "label", "prediction", replicates, SEED, "id")
+    assert 0 < alone.count() < replicates
+
+
 def test_bootstrap_is_seeded_and_layout_free(pred):
     for mode in ("multinomial", "poisson"):
         runs = [
