@@ -3,7 +3,7 @@
 The network reads a token's bytes forwards and backwards and gives every position a
 distribution over languages; a document's probabilities are the mean over all its
 positions. It is trained in numpy by backpropagation through time on a bounded sample of
-labelled documents. State starts anew at each token, so a token's label sums depend on the
+labelled documents, drawn for each language on its own, so a rare one is learned as well. State starts anew at each token, so a token's label sums depend on the
 token alone: a task labels each token of a batch once and looks repeated ones up, yet every
 position of every text counts.
 """
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from riskflow.llm.common import col, held_out, small_batches
 from riskflow.workspace import stage
 
-#: Documents the network is trained on, at most, and tokens taken of each, in hash order.
-TRAIN_ROWS, TRAIN_TOKENS = 4_000, 60
+#: Training only: different documents, at most, shared out evenly among the languages; tokens
+#: of each, in hash order; characters of a token.
+TRAIN_ROWS, TRAIN_TOKENS, TRAIN_CHARS = 4_000, 60, 256
 HIDDEN, PIECE, BATCH, STEPS, RATE = 16, 16, 256, 1_500, 0.01
 #: Tokens a task remembers at most before it starts anew.
 REMEMBER = 200_000
@@ -118,13 +119,14 @@ class Network:
         return loss, g
 
     def fit(self, tokens: list[bytes], y: np.ndarray, seed: int = 42) -> None:
-        """Adam steps over random batches of tokens."""
+        """Adam steps over random batches of tokens; a language is met by the root of its share."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
         x, n = pack(tokens)
+        odds = np.cumsum(np.bincount(y)[y] ** -0.5)
         for step in range(1, STEPS + 1):
-            at = rng.integers(0, len(tokens), BATCH)
+            at = np.minimum(np.searchsorted(odds, rng.random(BATCH) * odds[-1], side="right"), len(y) - 1)
             _, g = self.gradients(x[at], n[at], y[at])
             rate = RATE * (1 - step / (STEPS + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, v in g.items():
@@ -140,21 +142,24 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[lis
         df.where(~held_out(col(id_col)) & col(lang_col).isNotNull() & col(text_col).isNotNull())
         .select(col(lang_col).alias("l"), col(text_col).alias("t"))
     )
-    langs = sorted(r.l for r in rows.select("l").distinct().collect())
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    found = rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    langs = sorted(r.l for r in found)
     if len(langs) < 2:
         return langs, None
-    mix = F.slice(
-        F.array_sort(F.transform(F.array_distinct(F.split("t", r"\s+")), lambda w: F.struct(F.xxhash64(w), w.alias("w")))),
-        1, TRAIN_TOKENS,
-    )
-    # Rows below a hash bound are few more than wanted, so little is sent to the driver.
-    h = F.shiftrightunsigned(F.xxhash64("t", "l"), 11) * F.lit(2.0**-53)
-    bound = 1.3 * TRAIN_ROWS / max(1, rows.count())
-    sample = (
-        rows.withColumn("h", h).where(F.col("h") < bound)
-        .select("h", "l", F.transform(mix, lambda s: s["w"]).alias("ws"))
-        .orderBy("h").limit(TRAIN_ROWS).toPandas()
+    each = max(1, TRAIN_ROWS // len(langs))
+    # Different texts below a bound of each language's own: few more than wanted, all of a rare one.
+    bounds = F.create_map(*[F.lit(v) for r in found for v in (r.l, min(1.0, 1.3 * each / max(1, r.n)))])
+    place = F.shiftrightunsigned("h", 11) * F.lit(2.0**-53)
+    words = F.transform(F.array_distinct(F.split("t", r"\s+")), lambda w: F.struct(
+        F.xxhash64(w), F.substring(w, 1, TRAIN_CHARS).alias("w")
+    ))
+    drawn = (
+        rows.where(place < F.element_at(bounds, F.col("l")))
+        .select("l", "h", F.slice(F.array_sort(words), 1, TRAIN_TOKENS)["w"].alias("ws"))
+        .dropDuplicates(["l", "h"]).toPandas()
     )
+    sample = drawn.sort_values(["l", "h"]).groupby("l").head(each)
     code = {lang: i for i, lang in enumerate(langs)}
     tokens, y = [], []
     for lang, words in zip(sample["l"], sample["ws"]):

@@ -26,7 +26,7 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 
 
 def _record_id(*parts: str) -> Column:
-    h = F.md5(F.concat_ws("\n", *[F.coalesce(F.col(p).cast("string"), F.lit("null")) for p in parts]))
+    h = F.md5(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -51,7 +51,7 @@ def _record(kind: str, date: str) -> Column:
     body = F.concat(http, F.col("payload")) if kind == "response" else http
     lines = [
         F.lit(VERSION), F.lit(f"WARC-Type: {kind}\r\n"), _line("WARC-Record-ID", F.col("record")),
-        F.lit(f"WARC-Date: {date}\r\n"), _line("WARC-Target-URI", F.col("url")), _line("X-Page-Id", F.col("id")),
+        F.lit(f"WARC-Date: {date}\r\n"), _line("WARC-Target-URI", F.col("url")), _line("X-Page-Id", F.url_encode(F.col("id").cast("string"))),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\n")),
     ]
     if kind == "revisit":
@@ -93,7 +93,12 @@ def resolve_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str,
         .withColumn("record", _record_id("id", "url", "digest", "nth"))
     )
     # A short payload is never shared; its repeated rows get ids of their own.
-    short = full.where(F.col("bytes") < min_bytes)
+    short = (
+        full.where(F.col("bytes") < min_bytes).groupBy("id", "url", "payload", "digest", "bytes")
+        .agg(F.count("*").alias("m")).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("m"))))
+        .withColumn("record", _record_id("id", "url", "digest", "nth"))
+        .select("id", "url", "payload", "digest", "bytes", "record")
+    )
     several = stage(long_.where(F.col("m") > 1).select("id", "url", "digest").join(
         original.select("d", "oid", "original_url"),
         (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("oid")) & F.col("url").eqNullSafe(F.col("original_url")),
@@ -105,9 +110,7 @@ def resolve_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str,
     if not several.isEmpty():
         once = alone.join(several, "digest", "left_semi").dropDuplicates(["digest"])
         alone = alone.join(several, "digest", "left_anti").unionByName(once)
-    responses = alone.withColumn("record", _record_id("id", "url", "digest")).unionByName(
-        short.withColumn("record", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))
-    )
+    responses = alone.withColumn("record", _record_id("id", "url", "digest")).unionByName(short)
     return responses, revisits
 
 
@@ -139,13 +142,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     records = plain.unionByName(whole).where(F.length("value") > 0).select(F.split("value", END, 3).alias("part"))
     head = F.concat(F.lit("\r\n"), F.col("part")[0], F.lit("\r\n"))
     field = lambda name: F.nullif(F.regexp_extract(head, rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
+    page = F.when(F.contains(head, F.lit("\r\nX-Page-Id: ")), F.url_decode(F.regexp_extract(head, r"\r\nX-Page-Id: ([^\r]*)\r\n", 1)))
     length = field("Content-Length").cast("long")
     skipped = F.octet_length(F.col("part")[1]) + 4
     payload = F.substring(
         F.coalesce(F.get("part", 2), F.lit("")).cast("binary"), F.lit(1), (length - skipped).cast("int")
     )
     return records.select(
-        field("WARC-Record-ID").alias("record"), field("WARC-Type").alias("type"), field("X-Page-Id").alias("id"),
+        field("WARC-Record-ID").alias("record"), field("WARC-Type").alias("type"), page.alias("id"),
         field("WARC-Target-URI").alias("url"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha256:", "").alias("digest"),
         field("WARC-Refers-To").alias("refers_to"), payload.alias("payload"),
@@ -179,12 +183,15 @@ def resolved_index(spark: SparkSession, path: str, id_type: str = "long") -> Dat
     ).unionByName(revisits)
 
 
-def archive_index(pages: DataFrame) -> DataFrame:
-    """Write an archive of all pages into the shared folder, read it back and resolve it."""
+def archive_index(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Write an archive of all pages into the shared folder, read it back and resolve it.
+
+    Ids of any type come back as they were: their header is percent-encoded.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_archive(pages, path)
-    return resolved_index(spark, path)
+    write_archive(pages, path, id_col)
+    return resolved_index(spark, path, pages.select(col(id_col)).schema[0].dataType.simpleString())
 
 
 ORACLE = """
