@@ -1,4 +1,4 @@
-"""Kernel machine: Nyström landmarks, a dual coordinate solver over blocks of rows, Platt's sigmoid."""
+"""Kernel machine: Nyström landmarks, Newton steps over blocks of rows, Platt's sigmoid."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ from riskflow.contract import SEED
 from riskflow.functions.scalar import seeded_hash
 from riskflow.workspace import stage
 
-#: Rows of one block; a block is one row of the staged state and one unit of work.
+#: Rows of one block; a block is one row of the staged table and one unit of work.
 BLOCK_ROWS = 4_096
 #: Bins of the margins that the sigmoid is fitted on.
 PLATT_BINS = 4_096
@@ -177,12 +177,17 @@ def fit_platt(df: DataFrame, margin: str, label: str, bins: int = PLATT_BINS) ->
 
 @dataclass(frozen=True)
 class DualSolution:
-    """Weights of all fits (one row each, bias last), the staged multipliers, and the gaps."""
+    """Weights of all fits (one row each, bias last), the staged blocks, and the gaps.
+
+    A row's multiplier in a fit is ``C`` times its hinge loss over the fit's ``widths`` entry,
+    at most ``C``; so it is not zero just where the margin is below 1.
+    """
 
     weights: np.ndarray
     state: DataFrame
     gaps: np.ndarray
     rounds: int
+    widths: np.ndarray
 
 
 def _features(x: np.ndarray, size: int, landmarks: np.ndarray, gamma: float, white: np.ndarray) -> np.ndarray:
@@ -190,24 +195,33 @@ def _features(x: np.ndarray, size: int, landmarks: np.ndarray, gamma: float, whi
     return np.hstack([phi, np.ones((len(phi), 1))])
 
 
-def _sum_arrays(df: DataFrame, name: str) -> np.ndarray:
-    """Element-wise sum of an array column whose length does not depend on the data."""
-    cells = df.select(F.posexplode(name).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    return np.array([r.v for r in cells.orderBy("i").collect()])
+def _sum_states(df: DataFrame) -> dict[int, np.ndarray]:
+    """Sum of the vectors of each fit; their length does not depend on the data."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values("tag")
+        total = sum(np.frombuffer(v) for v in ordered["sums"])
+        return pd.DataFrame({"fit": pdf["fit"].iloc[:1], "sums": [total.tobytes()]})
+
+    rows = df.groupBy("fit").applyInPandas(add, "fit int, sums binary").collect()
+    return {r.fit: np.frombuffer(r.sums) for r in rows}
 
 
 def solve_dual(
     df: DataFrame, vector: str, label: str, landmarks: np.ndarray, gamma: float, C: float = 1.0,
-    parts: int = 0, id: str = "id", seed: int = SEED, max_rounds: int = 100, tol: float = 0.02, epochs: int = 3,
+    parts: int = 0, id: str = "id", seed: int = SEED, max_rounds: int = 100, tol: float = 0.02,
 ) -> DualSolution:
     """Soft-margin machines on Nyström features, all in the same rounds.
 
     Fit 0 learns from every row; with ``parts`` above 1, fit ``i + 1`` leaves out seeded part
-    ``i``. Rows are packed into blocks by a hash of their id. In a round each block goes
-    ``epochs`` times over its own multipliers against the shared weights, with the quadratic
-    term scaled by the number of blocks so that the steps of all blocks may be added; only
-    weights and sums travel. The duality gap of every fit, relative to its primal value, ends
-    the rounds at ``tol``. The bias is a constant feature and so takes part in the penalty.
+    ``i``. Rows are packed into blocks by a hash of their id. A round is one pass over the
+    blocks: each fit's hinge loss, rounded off over a width, gives loss, gradient and Hessian
+    for a Newton step, and the multipliers that belong to it, a feasible point of the dual.
+    The duality gap of the plain hinge loss is the part that comes from the width plus the
+    part that comes from unfinished steps; the width shrinks while the first is too large. A
+    fit ends when its gap, relative to its primal value, is at most ``tol``. Rounds do not
+    grow with the rows, and only sums of a fixed size travel. The bias is a constant feature
+    and so takes part in the penalty.
     """
     white = whitening(landmarks, gamma)
     size, width = landmarks.shape[1], white.shape[1] + 1
@@ -226,73 +240,75 @@ def solve_dual(
         "block", F.transform("r", lambda r: r["y"] * 2.0 - 1.0).alias("y"),
         F.transform("r", lambda r: r["part"]).alias("part"),
         F.flatten(F.transform("r", lambda r: r["x"])).alias("x"),
-        F.array_repeat(F.lit(0.0), (F.size("r") * fits).cast("int")).alias("alpha"),
     )
-    empty = F.array().cast("array<double>")
     # One file a task: a block is small but much work, so files are cut by work, not bytes.
     files = min(blocks, max(df.sparkSession.sparkContext.defaultParallelism, blocks // 16))
-    state = stage(packed.withColumn("sums", empty).repartition(files), "kernel-blocks")
-    schema = state.schema
+    state = stage(packed.repartition(files), "kernel-blocks")
 
-    def work(weights: np.ndarray, turn: int):
+    def work(weights: np.ndarray, widths: np.ndarray, going: list[int]):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums, tag = None, None
             for frame in frames:
                 for row in frame.itertuples(index=False):
-                    y = np.asarray(row.y)
+                    if sums is None:
+                        sums, tag = np.zeros((len(going), 4 + width + width * width)), row.block
+                    y, held = np.asarray(row.y), np.asarray(row.part)
                     phi = _features(np.asarray(row.x), size, landmarks, gamma, white)
-                    cap = np.full((len(y), fits), C)
-                    for j in range(1, fits):
-                        cap[np.asarray(row.part) == j - 1, j] = 0.0
-                    alpha = np.array(row.alpha).reshape(len(y), fits)
-                    hinge = (cap * np.maximum(0.0, 1.0 - y[:, None] * (phi @ weights.T))).sum(axis=0)
-                    before = alpha.sum(axis=0)
-                    local = weights.copy()
-                    scale = blocks * (phi * phi).sum(axis=1)
-                    rng = np.random.default_rng([seed, turn, row.block])
-                    for _ in range(epochs):
-                        for i in rng.permutation(len(y)):
-                            wanted = alpha[i] + (1.0 - y[i] * (local @ phi[i])) / scale[i]
-                            step = np.clip(wanted, 0.0, cap[i]) - alpha[i]
-                            if step.any():
-                                alpha[i] += step
-                                local += np.outer((blocks * y[i]) * step, phi[i])
-                    change = (local - weights) / blocks
-                    yield pd.DataFrame({
-                        "block": [row.block], "y": [row.y], "part": [row.part], "x": [row.x],
-                        "alpha": [alpha.ravel()], "sums": [np.concatenate([hinge, before, change.ravel()])],
-                    })
+                    short = 1.0 - y[:, None] * (phi @ weights[going].T)
+                    for at, j in enumerate(going):
+                        z, h = np.maximum(0.0, short[:, at]), widths[j]
+                        if j:
+                            z[held == j - 1] = 0.0
+                        alpha = C * np.minimum(z / h, 1.0)
+                        bent = phi[(z > 0) & (z < h)]
+                        sums[at, :4] += (
+                            C * z.sum(), alpha.sum(), alpha @ z,
+                            C * np.where(z < h, z * z / (2.0 * h), z - h / 2.0).sum(),
+                        )
+                        sums[at, 4:4 + width] += (alpha * y) @ phi
+                        sums[at, 4 + width:] += (bent.T @ bent).ravel()
+            if sums is not None:
+                yield pd.DataFrame({"fit": going, "tag": tag, "sums": [s.tobytes() for s in sums]})
 
         return run
 
-    weights = np.zeros((fits, width))
-    gaps, turn = np.full(fits, np.inf), 0
-    while turn < max_rounds:
-        after = stage(state.mapInPandas(work(weights, turn), schema), "kernel-state")
-        sums = _sum_arrays(after, "sums")
-        if not len(sums):
-            break
-        half = 0.5 * (weights * weights).sum(axis=1)
-        primal, dual = half + sums[:fits], sums[fits:2 * fits] - half
-        gaps = (primal - dual) / np.maximum(primal, 1e-300)
-        if turn and gaps.max() <= tol:
+    weights, widths = np.zeros((fits, width)), np.full(fits, 2.0)
+    steps, before = np.zeros((fits, width)), np.full(fits, np.inf)
+    gaps, turn, going = np.full(fits, np.inf), 0, list(range(fits))
+    while going and turn < max_rounds:
+        tried = weights + steps
+        sums = _sum_states(state.mapInPandas(work(tried, widths, going), "fit int, tag long, sums binary"))
+        if not sums:
             break
-        state, turn = after, turn + 1
-        weights = weights + sums[2 * fits:].reshape(weights.shape)
-    return DualSolution(weights, state, gaps, turn)
-
-
-def _support(state: DataFrame, fits: int) -> list[int]:
-    """Non-zero multipliers of fit 0, of class 0 and class 1."""
-    first = F.transform("y", lambda y, i: F.struct(y.alias("y"), F.get("alpha", i * fits).alias("a")))
-    of = lambda sign: F.size(F.filter("r", lambda r: (r["a"] > 0) & (r["y"] * sign > 0)))
-    row = state.select(first.alias("r")).agg(F.sum(of(-1)), F.sum(of(1))).collect()[0]
-    return [int(v or 0) for v in row]
+        turn += 1
+        for j in list(going):
+            hinge, alpha, product, smooth = sums[j][:4]
+            pull, w = sums[j][4:4 + width], tried[j]
+            loss = 0.5 * w @ w + smooth
+            if loss > before[j] + 1e-9 * abs(before[j]) and np.abs(steps[j]).max() > 1e-10:
+                steps[j] /= 2.0  # the step was too long
+                continue
+            weights[j], before[j] = w, loss
+            rest, primal = 0.5 * ((w - pull) ** 2).sum(), 0.5 * w @ w + hinge
+            gaps[j] = (hinge - product + rest) / max(primal, 1e-300)
+            if gaps[j] <= tol:
+                going.remove(j)
+                continue
+            bent = sums[j][4 + width:].reshape(width, width)
+            steps[j] = -np.linalg.solve(np.eye(width) + (C / widths[j]) * bent, w - pull)
+            rounding = hinge - product
+            if rounding > 0.5 * tol * primal and rest <= rounding:
+                # What rounding costs falls with the square of the width, about.
+                widths[j] *= np.clip(np.sqrt(0.25 * tol * primal / rounding), 0.1, 0.7)
+                before[j] = np.inf
+    return DualSolution(weights, state, gaps, turn, widths)
 
 
 def _held_margins(
     solved: DualSolution, size: int, landmarks: np.ndarray, gamma: float, fits: int
 ) -> DataFrame:
-    """(margin, label) of every row by the fit that left it out, or by fit 0 if there is one only."""
+    """(m, y, support) of every row: its margin by the fit that left it out, or by fit 0 if there
+    is one only, its class, and whether its multiplier in fit 0 is not zero."""
     white, weights = whitening(landmarks, gamma), solved.weights
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,10 +316,19 @@ def _held_margins(
             for row in frame.itertuples(index=False):
                 margins = _features(np.asarray(row.x), size, landmarks, gamma, white) @ weights.T
                 by = np.asarray(row.part) + 1 if fits > 1 else np.zeros(len(margins), dtype=int)
-                label = (np.asarray(row.y) > 0).astype(float)
-                yield pd.DataFrame({"m": margins[np.arange(len(margins)), by], "y": label})
+                sign = np.asarray(row.y)
+                yield pd.DataFrame({
+                    "m": margins[np.arange(len(margins)), by], "y": (sign > 0).astype(float),
+                    "support": sign * margins[:, 0] < 1.0,
+                })
+
+    return solved.state.select("y", "part", "x").mapInPandas(run, "m double, y double, support boolean")
+
 
-    return solved.state.select("y", "part", "x").mapInPandas(run, "m double, y double")
+def _support(held: DataFrame) -> list[int]:
+    """Support vectors of fit 0, of class 0 and class 1."""
+    of = lambda y: F.count_if(F.col("support") & (F.col("y") == y))
+    return [int(v) for v in held.agg(of(0.0), of(1.0)).collect()[0]]
 
 
 def train_rbf_svm(
@@ -344,12 +369,12 @@ def train_rbf_svm(
     )
     fits = len(solved.weights)
     beta = whitening(landmarks, gamma) @ solved.weights[0, :-1]
+    held = stage(_held_margins(solved, landmarks.shape[1], landmarks, gamma, fits), "kernel-margins")
     machine = KernelMachineModel(
         inputCol=vector, outputCol="margin", landmarks=landmarks.ravel().tolist(),
         weights=beta.tolist(), bias=float(solved.weights[0, -1]), gamma=float(gamma),
-        support=_support(solved.state, fits),
+        support=_support(held),
     )
-    held = stage(_held_margins(solved, landmarks.shape[1], landmarks, gamma, fits), "kernel-margins")
     slope, intercept = fit_platt(held, "m", "y")
     sigmoid = PlattSigmoid(slope=slope, intercept=intercept)
     return PipelineModel([*stages, machine, sigmoid])
