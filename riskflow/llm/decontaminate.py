@@ -32,14 +32,16 @@ UNITS = (
     "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents",
 )
 _NUMBER = r"^[+\-]?\p{N}[\p{N}.,:/%]*$"
+_BARE = r"^[\p{L}\p{N}]++\z"
 _MARKS = r"^[^\p{L}\p{N}+\-]+|[^\p{L}\p{N}%]+$"
 
 
 def tokens(text: Column) -> Column:
     """(raw, word) per white-space token that holds a letter or digit; a null text has none."""
     raw = F.split(F.coalesce(text, F.lit("")), r"\s+")
+    # Most tokens are letters and digits only and stand as they are; the check costs less than the cut.
     pairs = F.transform(raw, lambda w: F.struct(
-        w.alias("raw"), F.regexp_replace(w, _MARKS, "").alias("word")
+        w.alias("raw"), F.when(w.rlike(_BARE), w).otherwise(F.regexp_replace(w, _MARKS, "")).alias("word")
     ))
     return F.filter(pairs, lambda t: t["word"].rlike(r"[\p{L}\p{N}]"))
 
@@ -50,15 +52,13 @@ def templates(toks: Column) -> Column:
     A name is a capitalised word inside a sentence. At the start of a text or sentence a
     capital says nothing, so the word stands for itself.
     """
-    units = F.array(*[F.lit(u) for u in UNITS])
-
     def one(toks: Column, t: Column, i: Column) -> Column:
         w, low = t["word"], F.lower(t["word"])
         inside = (i > 0) & ~F.get(toks, i - 1)["raw"].rlike(r"[.!?:][^\p{L}\p{N}]*$")
         return (
             F.when(w.rlike(_NUMBER), F.lit("<number>"))
             .when(w.rlike(r"^\p{Lu}\p{Ll}+$") & inside, F.lit("<name>"))
-            .when(F.array_contains(units, low), F.lit("<unit>"))
+            .when(low.isin(*UNITS), F.lit("<unit>"))
             .otherwise(low)
         )
 
