@@ -29,7 +29,7 @@ from riskflow.llm.common import col
 from riskflow.workspace import stage
 
 #: Split points of a node, and rows of a leaf at most (but for nodes that cannot be split).
-FAN, LEAF_ROWS = 16, 1024
+FAN, LEAF_ROWS = 16, 4096
 #: Rows by hash among which a node's split points are chosen, for each split point.
 CANDIDATES = 3
 #: Node numbers have FAN ** depth values; a long holds so many levels.
@@ -168,13 +168,13 @@ class Tree:
         """
         space, fan = self.space, self.fan
         names = [c for c in searches.columns if c != "node"]
-        now = searches.withColumn("node", F.lit(0).cast("long"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema)
+        now = stage(searches.select(*names).withColumn("node", F.lit(0).cast("long")), "tree-searches")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema) + ", ended boolean"
         out = None
 
         def follow(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return left.iloc[:0][[*names, "node"]]
+            if not len(left) or not len(right):  # a node without parts is a leaf
+                return left[[*names, "node"]].assign(ended=True)
             right = right.sort_values("part", ignore_index=True)
             n = len(right)
             points = space.lifted(space.matrix(right["point"]))
@@ -194,12 +194,12 @@ class Tree:
                 i, part = np.nonzero(hit.any(axis=2))
                 kept = some.iloc[i]
                 found.append(kept.assign(node=kept["node"].to_numpy() * fan + right["part"].to_numpy()[part] + 1))
-            return pd.concat(found)[[*names, "node"]]
+            return pd.concat(found)[[*names, "node"]].assign(ended=False)
 
         for level in self.levels:
-            ended = now.join(level.select("node").distinct(), "node", "left_anti").select(*names, "node")
+            met = stage(_meet(now, level, follow, schema), "tree-reached")
+            ended, now = met.where("ended").drop("ended"), met.where(~F.col("ended")).drop("ended")
             out = ended if out is None else out.unionByName(ended)
-            now = stage(_meet(now, level, follow, schema), "tree-reached").select(*names, "node")
         return now if out is None else out.unionByName(now)
 
 
@@ -311,7 +311,7 @@ def hard_negatives(
     start = stage(
         asked.join(home, "vh").drop("vh").withColumns({"low": open_end, "high": open_end}), "negatives-start"
     )
-    bound = _bounds(_scored(start, tree, positives, same=True), positives)
+    bound = stage(_bounds(_scored(start, tree, positives, same=True), positives), "negatives-bound")
     searches = start.drop("low", "node").join(bound.select("key", F.array("least").alias("low")), "key", "left")
     searches = searches.withColumn("low", F.coalesce("low", open_end))
     near = stage(_numbered(_scored(tree.reached(searches), tree, positives, same=True), positives), "negatives-positives")
@@ -327,7 +327,7 @@ def hard_negatives(
     )
     begin = stage(start.drop("low", "high").join(windows, "key"), "negatives-windows")
     bound = _bounds(_scored(begin.drop("near"), tree, negatives, same=False), negatives)
-    bound = bound.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("window", "least"))).alias("least"))
+    bound = stage(bound, "negatives-bounds").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("window", "least"))).alias("least"))
     searches = begin.drop("near", "node").join(bound, "key", "left").withColumn(
         "low", F.transform("low", lambda x, i: F.greatest(x, F.try_element_at("least", i)))
     ).drop("least")
