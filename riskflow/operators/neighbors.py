@@ -33,11 +33,16 @@ from riskflow.functions.scalar import seeded_hash
 from riskflow.operators.ranking import global_rank
 from riskflow.workspace import stage
 
-# Largest base side, in numbers, that is sent to every task (64 MB of doubles).
-BROADCAST_NUMBERS = 8_000_000
-# Bytes of vectors in a block, and pivots, which every task holds.
-BLOCK_BYTES = 4 << 20
+# Largest base side, in numbers, that is sent to every task when asked for (64 MB of doubles), and
+# the largest for which that form, whose work is queries times rows, is chosen unasked.
+BROADCAST_NUMBERS, AUTO_NUMBERS = 8_000_000, 1_000_000
+# Bytes of vectors in a block: from the first to the second as the base grows, in about BLOCKS
+# blocks. What travels is queries times the blocks they visit, so it grows with the queries.
+BLOCK_BYTES, MAX_BLOCK_BYTES, BLOCKS = 1 << 20, 32 << 20, 32
+# Pivots, which every task holds.
 MAX_PIVOTS = 256
+# Rows of a leaf, and queries taken together, in the search of one large block.
+LEAF_ROWS, TILE_PRUNED = 512, 8192
 # Cells that a query goes through in one round, at most; rounds begin with one and double.
 ROUND_CELLS = 64
 _TILE_QUERIES = 256
@@ -55,6 +60,10 @@ COVER = 0.97
 
 def _vector_of(df: DataFrame, features: str | Sequence[str]):
     if isinstance(features, str):
+        kind = df.schema[features].dataType
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType):
+            # Half the bytes on each exchange; tasks compute in doubles.
+            return F.transform(F.col(features), lambda x: x + F.lit(0.0).cast("float"))
         return F.transform(F.col(features), lambda x: x.cast("double") + F.lit(0.0))
     return F.array(*[F.col(f).cast("double") + F.lit(0.0) for f in features])
 
@@ -142,6 +151,90 @@ def _search(
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _leaves(x: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Rows cut at the median of their widest feature until at most ``rows`` are left together."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= rows:
+            out.append(at)
+            continue
+        part = x[at]
+        d = int((part.max(axis=0) - part.min(axis=0)).argmax())
+        order = np.argpartition(part[:, d], len(at) // 2)
+        todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return out
+
+
+def _search_leaves(
+    q: np.ndarray,
+    q_group: np.ndarray | None,
+    b: np.ndarray,
+    b_id: np.ndarray,
+    b_group: np.ndarray | None,
+    k: int,
+    reach: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``_search``, for a large block: a query is measured only with leaves in its reach.
+
+    A leaf's box bounds the distance to its rows. A query goes through the leaf with the next
+    box, then three more, then all others that what it found leaves in reach. Where that is
+    much of the block, the block is searched as one.
+    """
+    if len(b) <= 4 * LEAF_ROWS or not len(q):
+        return _search(q, q_group, b, b_id, b_group, k, reach)
+    found = []
+    leaves = _leaves(b, LEAF_ROWS)
+    low, high = (np.stack([f(b[x], axis=0) for x in leaves]) for f in (np.min, np.max))
+    for at in range(0, len(q), TILE_PRUNED):
+        part = slice(at, at + TILE_PRUNED)
+        some = q[part], None if q_group is None else q_group[part]
+        limit = np.full(len(some[0]), np.inf) if reach is None else reach[part].copy()
+        rows, cols, dist = _pruned(*some, b, b_id, b_group, k, limit, leaves, low, high)
+        found.append((rows + at, cols, dist))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _pruned(
+    q: np.ndarray, q_group: np.ndarray | None, b: np.ndarray, b_id: np.ndarray, b_group: np.ndarray | None, k: int,
+    limit: np.ndarray, leaves: list[np.ndarray], low: np.ndarray, high: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    gap = np.zeros((len(q), len(leaves)))
+    for d in range(q.shape[1]):
+        x = q[:, d, None]
+        off = np.maximum(0.0, np.maximum(low[None, :, d] - x, x - high[None, :, d]))
+        gap += off * off
+    next_four = np.zeros(gap.shape, dtype=bool)
+    np.put_along_axis(next_four, np.argpartition(gap, 3, axis=1)[:, :4], True, axis=1)
+    next_one = np.zeros(gap.shape, dtype=bool)
+    np.put_along_axis(next_one, gap.argmin(axis=1)[:, None], True, axis=1)
+    todo = np.ones(gap.shape, dtype=bool)
+    rows = cols = np.zeros(0, dtype=np.int64)
+    dist = np.zeros(0)
+    for pick in (next_one, next_four, None):
+        open_pairs = todo & (gap <= _radius(limit)[:, None] ** 2)
+        if pick is not next_one and open_pairs.mean() > (0.4 if pick is None else 0.9):
+            return _search(q, q_group, b, b_id, b_group, k, limit)
+        pairs = open_pairs if pick is None else open_pairs & pick
+        todo &= ~pairs
+        found = [(rows, cols, dist)]
+        for leaf in np.nonzero(pairs.any(axis=0))[0]:
+            at, of = np.nonzero(pairs[:, leaf])[0], leaves[leaf]
+            r, c, d = _search(
+                q[at], None if q_group is None else q_group[at], b[of], b_id[of],
+                None if b_group is None else b_group[of], k, limit[at],
+            )
+            found.append((at[r], of[c], d))
+        rows, cols, dist = (np.concatenate(x) for x in zip(*found))
+        best = np.lexsort((b_id[cols], dist, rows))
+        rows, cols, dist = rows[best], cols[best], dist[best]
+        place = _rank_in_row(rows)
+        last = place == k - 1
+        limit[rows[last]] = np.minimum(limit[rows[last]], dist[last])
+        rows, cols, dist = rows[place < k], cols[place < k], dist[place < k]
+    return rows, cols, dist
+
+
 def _output_schema(id_type: T.DataType, base_id_type: T.DataType, payload: list) -> T.StructType:
     return T.StructType(
         [T.StructField("query_id", id_type), T.StructField("base_id", base_id_type),
@@ -183,16 +276,16 @@ def knn_join(
     carry: Sequence[str] = (),
     mode: str = "auto",
     block_rows: int | None = None,
-    query_rows: int = 8192,
+    query_rows: int = 32_768,
 ) -> DataFrame:
     """The k nearest base rows of every query row: ``query_id, base_id, rank, distance``.
 
     ``features`` is a list of numeric columns or one array column. Pairs with equal
     ``exclude`` values are skipped (a fold column, or the id itself). ``carry`` copies
     base columns to the output. ``mode`` is ``broadcast``, ``blocked`` or ``auto``, which
-    counts the base side and broadcasts it only below ``BROADCAST_NUMBERS``; ``broadcast``
-    asks for that form and raises above twice that size. ``block_rows`` overrides the size of
-    a block, which is ``BLOCK_BYTES`` of vectors.
+    counts the base side and broadcasts it only below ``AUTO_NUMBERS``; ``broadcast`` asks for
+    that form and raises above twice ``BROADCAST_NUMBERS``. ``block_rows`` overrides the size
+    of a block, which is ``BLOCK_BYTES`` to ``MAX_BLOCK_BYTES`` of vectors.
     """
     group = F.col(exclude) if exclude else F.lit(None).cast("int")
     q = query.select(
@@ -210,7 +303,7 @@ def knn_join(
         if mode == "broadcast" and numbers > 2 * BROADCAST_NUMBERS:
             raise ValueError(f"a base side of {numbers} numbers is not sent to every task")
         if mode == "auto":
-            mode = "broadcast" if numbers <= BROADCAST_NUMBERS else "blocked"
+            mode = "broadcast" if numbers <= AUTO_NUMBERS else "blocked"
     if mode == "broadcast":
         pairs = _broadcast_join(q, b, k, exclude is not None, schema)
     elif mode == "blocked":
@@ -253,7 +346,7 @@ def _broadcast_join(
         for batch in batches:
             if not len(batch) or not len(rows):
                 continue
-            found = _search(
+            found = _search_leaves(
                 _matrix(batch["_vec"]), batch["_group"].to_numpy() if grouped else None,
                 vectors, ids, groups, k,
             )
@@ -314,7 +407,9 @@ def _blocked_join(
         return spark.createDataFrame(
             [], T.StructType([*schema.fields, T.StructField("_rank", T.LongType())])
         )
-    block_rows = block_rows or max(256, BLOCK_BYTES // (8 * max(shape["d"], 1)))
+    row_bytes = 8 * max(shape["d"], 1)
+    size = min(MAX_BLOCK_BYTES, max(BLOCK_BYTES, n * row_bytes // BLOCKS))
+    block_rows = block_rows or max(256, size // row_bytes)
     pivots = _pick_pivots(b, min(MAX_PIVOTS, max(1, n // block_rows)))
 
     def nearest(batch: pd.DataFrame) -> pd.DataFrame:
@@ -427,7 +522,8 @@ def _blocked_join(
             F.when(F.count("*") >= k, F.max("_d")).alias("_d")
         )
         bounded = homes.drop("_d", "_block").join(reach, "_id", "left").select(*fields)
-        going = _add_columns(bounded, at_cell, go(first, first + width))
+        # Each use of it would search the cells of all queries again.
+        going = stage(_add_columns(bounded, at_cell, go(first, first + width)), "knn-going")
         visits = stage(meet_rings(going, home=False), "knn-visits")
         if visits.isEmpty() and going.isEmpty():
             break  # cells come best first, so none of the others is in reach either
@@ -441,9 +537,9 @@ def _blocked_join(
     return best.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
 
 
-def _radius(reach: pd.Series) -> np.ndarray:
+def _radius(reach: pd.Series | np.ndarray) -> np.ndarray:
     """Distance within which a query can still find a neighbour, with room for rounding."""
-    d = reach.to_numpy(dtype=np.float64, na_value=np.nan)
+    d = np.asarray(reach, dtype=np.float64)
     return np.sqrt(np.where(np.isnan(d), np.inf, d + 1.0) / _SCALE) * (1 + _SLACK) + _SLACK
 
 
@@ -480,7 +576,7 @@ def _visit(
     """Search each visited block for its queries, ``query_rows`` of them per task."""
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = _search(
+        found = _search_leaves(
             _matrix(left["_vec"]), left["_group"].to_numpy() if grouped else None,
             _matrix(right["_vec"]), right["_id"].to_numpy(),
             right["_group"].to_numpy() if grouped else None, k,
