@@ -9,11 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    LogisticRegression,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel
 from pyspark.ml.feature import (
     ElementwiseProduct,
     StandardScaler,
@@ -29,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow.contract import FOREST_SETTINGS
+from riskflow.operators.forest import CellForestClassifier
 from riskflow.operators.perturb import class_weights
 
 def build_pipeline(
@@ -109,9 +106,9 @@ def train_forest(
     return build_pipeline(features, label, forest_estimator(**params), standardize).fit(df)
 
 
-def forest_estimator(**params) -> RandomForestClassifier:
-    """Forest that keeps the node of each row between levels; deep trees grow faster so."""
-    return RandomForestClassifier(**{**FOREST_SETTINGS, "cacheNodeIds": True, **params})
+def forest_estimator(**params) -> CellForestClassifier:
+    """Forest whose deep nodes are grown in cells of bounded rows."""
+    return CellForestClassifier(**{**FOREST_SETTINGS, **params})
 
 
 def stage_of(model: PipelineModel, kind: type):
