@@ -36,7 +36,8 @@ def cross_validate(
 
     ``trainer`` gets the rows of the other folds. With ``fit_scope="all"`` the features
     are standardised on all rows beforehand, so the trainer should not scale again. The
-    fits are independent and run side by side; the rows stay in Spark throughout.
+    fits are independent and run side by side, ``parallelism`` at a time; each fold's scores
+    are written at once, so no more models than that are held.
     """
     if fit_scope not in ("train", "all"):
         raise ValueError(f"unknown fit_scope {fit_scope}")
@@ -46,12 +47,12 @@ def cross_validate(
 
     def one(i: int) -> DataFrame:
         train, test = fold_split(slim, i, fold)
-        return score_model(trainer(train), test).select(
+        scored = score_model(trainer(train), test).select(
             id, fold, F.col(label).alias("label"), "prediction", "score"
         )
+        return stage(scored, "out-of-fold")
 
-    parts = side_by_side(df.sparkSession, one, range(k), parallelism)
-    return stage(reduce(DataFrame.unionByName, parts), "out-of-fold")
+    return reduce(DataFrame.unionByName, side_by_side(df.sparkSession, one, range(k), parallelism))
 
 
 def cross_validate_knn(

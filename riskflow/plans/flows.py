@@ -168,7 +168,8 @@ def forest_experiment(
     df = ordered_folds(clean(survey, "median"), "age", id, k)
     features = resolve_features(df)
     trainer = partial(train_forest, features=features, label=C.LABEL, **settings)
-    pred = cross_validate(df, trainer, features, C.LABEL, id, k=k)
+    # One forest keeps all cores busy and is large, so the folds follow each other.
+    pred = cross_validate(df, trainer, features, C.LABEL, id, k=k, parallelism=1)
     return Experiment(features, df, pred, cv_report(pred, averaging="weighted", ddof=0))
 
 
