@@ -47,6 +47,10 @@ LEAF_ROWS, TILE_PRUNED = 512, 8192
 ROUND_CELLS = 64
 _TILE_QUERIES = 256
 _TILE_BASE = 4096
+# Numbers of either side of the pairs measured together, and rows whose buckets a task of the
+# approximate join holds at a time.
+_TILE_NUMBERS = 1 << 20
+_TILE_SPREAD = 512
 _SCALE = 1e9
 # Bounds are loosened by more than floating-point rounding can tighten them.
 _ROUNDING = 1e-12
@@ -77,12 +81,19 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return out
 
 
-def _exact(q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distance of each pair of rows, summed feature by feature, in units of 1e-9."""
-    total = np.zeros(len(q))
-    for d in range(q.shape[1]):
-        gap = q[:, d] - b[:, d]
-        total += gap * gap
+def _exact(q: np.ndarray, rows: np.ndarray, b: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Squared distance of each pair of rows, summed feature by feature, in units of 1e-9.
+
+    Where many rows are equally far, pairs are many; the vectors of a few are held at a time.
+    """
+    total = np.zeros(len(rows))
+    step = max(1, _TILE_NUMBERS // max(1, q.shape[1]))
+    for at in range(0, len(rows), step):
+        part = slice(at, at + step)
+        left, right, some = q[rows[part]], b[cols[part]], total[part]
+        for d in range(q.shape[1]):
+            gap = left[:, d] - right[:, d]
+            some += gap * gap
     return np.floor(total * _SCALE + 0.5)
 
 
@@ -138,7 +149,7 @@ def _search(
                 r, c = r[allowed], c[allowed]
             rows = np.concatenate([rows, r])
             cols = np.concatenate([cols, c + b0])
-            dist = np.concatenate([dist, _exact(q[q0 + r], b[b0 + c])])
+            dist = np.concatenate([dist, _exact(q, q0 + r, b, b0 + c)])
             best = np.lexsort((b_id[cols], dist, rows))
             rows, cols, dist = rows[best], cols[best], dist[best]
             place = _rank_in_row(rows)
@@ -698,25 +709,28 @@ def approx_knn_join(
     hashes = _Hashes(sample.shape[1], tables, per_table, probes, seed)
     hashes.fit(sample, k, cover)
 
-    def spread(numbers, dropped: list[str]):
-        def run(batch: pd.DataFrame) -> pd.DataFrame:
-            found = numbers(_matrix(batch["_vec"])).reshape(len(batch), -1)
-            rows = np.repeat(np.arange(len(batch)), found.shape[1])
-            return batch.drop(columns=dropped).iloc[rows].assign(_bucket=found.ravel())
+    def spread(df: DataFrame, numbers, kept: list[str]) -> DataFrame:
+        """A row for each bucket of a row; those of a few rows are held at a time."""
 
-        return run
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), _TILE_SPREAD):
+                    some = batch.iloc[at : at + _TILE_SPREAD]
+                    found = numbers(_matrix(some["_vec"])).reshape(len(some), -1)
+                    rows = np.repeat(np.arange(len(some)), found.shape[1])
+                    yield some[kept].iloc[rows].assign(_bucket=found.ravel())
+
+        shape = [*df.select(*kept).schema.fields, T.StructField("_bucket", T.LongType())]
+        return df.mapInPandas(run, T.StructType(shape))
 
-    held = stage(_add_columns(b, "_bucket long", spread(hashes.own, [])), "lsh-buckets")
+    held = stage(spread(b, hashes.own, b.columns), "lsh-buckets")
     parts = held.groupBy("_bucket").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_parts"))
     parts = stage(parts, "lsh-parts")
     block = F.xxhash64("_bucket", "_part").alias("_block")
     held = held.join(parts, "_bucket").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
     # Vectors follow only to buckets that have rows.
-    looked = T.StructType([q.schema["_id"], T.StructField("_bucket", T.LongType())])
-    probing = spread(hashes.probed, ["_group", "_vec"])
-    probed = q.mapInPandas(lambda batches: (probing(x) for x in batches if len(x)), looked)
     asked = (
-        probed.join(parts, "_bucket")
+        spread(q, hashes.probed, ["_id"]).join(parts, "_bucket")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .select("_id", block).join(q, "_id").withColumn("_d", F.lit(None).cast("double"))
     )

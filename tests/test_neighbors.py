@@ -206,3 +206,50 @@ def test_approximate_join_edges(spark):
     assert sorted((r.query_id, r.base_id, r["rank"]) for r in got) == _brute(np.arange(40), np.ones((40, 3)), np.arange(40) % 4, 3)
     assert approx_knn_join(df, df.limit(0), 3, cols).count() == 0
     assert approx_knn_join(df.limit(0), df, 3, cols).count() == 0
+
+
+def test_buckets_of_a_batch_are_not_held_together(spark, monkeypatch):
+    """What a task holds of a batch's buckets does not grow with the rows of the batch."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from riskflow.operators import neighbors
+
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 8)))], "id long, v array<double>")
+    steps, plain = [], type(df).mapInPandas
+
+    def spy(self, fn, schema, *args, **named):
+        steps.append((fn, schema))
+        return plain(self, fn, schema, *args, **named)
+
+    monkeypatch.setattr(type(df), "mapInPandas", spy)
+    neighbors.approx_knn_join(df, df, 3, "v", exclude="id")
+    steps = [fn for fn, schema in steps if "_bucket" in schema.fieldNames()]
+    x, peaks = rng.normal(size=(20_000, 8)), []
+    batch = pd.DataFrame({"_id": np.arange(len(x)), "_group": np.arange(len(x)), "_vec": list(x)})
+    for fn in steps:
+        tracemalloc.start()
+        rows = sum(len(out) for out in fn(iter([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+        assert rows in (20_000 * 8, 20_000 * 8 * 12)
+    assert len(steps) == 2 and max(peaks) < 12, peaks
+
+
+def test_ties_are_measured_a_few_at_a_time():
+    """Equal distances to all rows make every pair a candidate; their vectors are not held together."""
+    import tracemalloc
+
+    from riskflow.operators import neighbors
+
+    x = np.eye(512)  # any two rows are equally far
+    ids = np.arange(512)
+    tracemalloc.start()
+    rows, cols, dist = neighbors._search(x[:256], ids[:256], x, ids, ids, 5)
+    peak = tracemalloc.get_traced_memory()[1] >> 20
+    tracemalloc.stop()
+    want = [[j for j in range(6) if j != i][:5] for i in range(256)]
+    assert cols.reshape(256, 5).tolist() == want and (dist == 2e9).all()
+    assert peak < 100, peak
