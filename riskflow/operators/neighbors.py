@@ -16,11 +16,13 @@ list of blocks is a table that queries meet by cell, so it may grow with the dat
 holds one block and one bounded chunk of the queries that visit it, so a popular block is
 spread over many tasks, and each task returns at most k rows per query.
 
-``approx_knn_join`` measures only rows that share a bucket of random projections.
+``approx_knn_join`` measures only rows that share a bucket of random projections. Few rows meet
+by bucket, which copies them; more are packed once and streamed past each other.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 
 from riskflow.functions.scalar import seeded_hash
 from riskflow.operators.ranking import global_rank
-from riskflow.workspace import stage
+from riskflow.workspace import fresh_path, stage
 
 # Largest base side, in numbers, that is sent to every task when asked for (64 MB of doubles), and
 # the largest for which that form, whose work is queries times rows, is chosen unasked.
@@ -51,6 +53,11 @@ _TILE_BASE = 4096
 # approximate join holds at a time.
 _TILE_NUMBERS = 1 << 20
 _TILE_SPREAD = 512
+# Numbers that may travel, in copies of queries and rows, where these meet by bucket.
+MEET_NUMBERS = 1 << 24
+# Bytes of vectors in a pack, in the packs that one task writes, and in those of one side that a
+# task holds; packs that travel to Python together.
+_PACK_BYTES, _PACKED_BYTES, _HELD_BYTES, _ARROW_PACKS = 2 << 20, 4 << 20, 16 << 20, 4
 _SCALE = 1e9
 # Bounds are loosened by more than floating-point rounding can tighten them.
 _ROUNDING = 1e-12
@@ -661,6 +668,260 @@ class _Hashes:
             self.width *= 1.2
 
 
+def _bucket_join(
+    q: DataFrame, b: DataFrame, hashes: _Hashes, k: int, grouped: bool, schema: T.StructType,
+    block_rows: int, query_rows: int, counts: tuple[int, int],
+) -> DataFrame:
+    """The k best rows of each bucket that a query looks into; both travel to each of them."""
+
+    def spread(df: DataFrame, numbers, kept: list[str]) -> DataFrame:
+        """A row for each bucket of a row; those of a few rows are held at a time."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), _TILE_SPREAD):
+                    some = batch.iloc[at : at + _TILE_SPREAD]
+                    found = numbers(_matrix(some["_vec"])).reshape(len(some), -1)
+                    rows = np.repeat(np.arange(len(some)), found.shape[1])
+                    yield some[kept].iloc[rows].assign(_bucket=found.ravel())
+
+        shape = [*df.select(*kept).schema.fields, T.StructField("_bucket", T.LongType())]
+        return df.mapInPandas(run, T.StructType(shape))
+
+    held = stage(spread(b, hashes.own, b.columns), "lsh-buckets")
+    parts = held.groupBy("_bucket").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_parts"))
+    parts = stage(parts, "lsh-parts")
+    block = F.xxhash64("_bucket", "_part").alias("_block")
+    held = held.join(parts, "_bucket").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    # Vectors follow only to buckets that have rows.
+    asked = (
+        spread(q, hashes.probed, ["_id"]).join(parts, "_bucket")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .select("_id", block).join(q, "_id").withColumn("_d", F.lit(None).cast("double"))
+    )
+    return _visit(asked, held.select(*b.columns, block), k, grouped, schema, query_rows)
+
+
+def _packed(
+    df: DataFrame, hashes: _Hashes, rows: int, parts: int, name: str, own: bool
+) -> str:
+    """A table of ``df`` in packs of at most ``rows`` rows: a number (``_pack``) and bytes (``_rows``).
+
+    Rows of one bucket of the first table lie together, so packs have few buckets where vectors
+    have structure. A pack holds the vectors, the other columns and, if ``own``, the different
+    buckets of its rows and the places of each row's own among them. There a repeated row is held
+    once.
+    """
+    kind = np.float32 if isinstance(df.schema["_vec"].dataType.elementType, T.FloatType) else np.float64
+    kept = [c for c in df.columns if c != "_vec"]
+
+    def first(batch: pd.DataFrame) -> pd.DataFrame:
+        return batch.assign(_at=hashes.own(_matrix(batch["_vec"]))[:, 0])
+
+    def one(some: pd.DataFrame) -> bytes:
+        x = _matrix(some["_vec"])
+        others = {c: some[c].to_numpy() for c in kept}
+        if own:
+            alike = (x[1:] == x[:-1]).all(axis=1)
+            for v in (others["_id"], others["_group"]):
+                alike &= (v[1:] == v[:-1]) | (pd.isna(v[1:]) & pd.isna(v[:-1]))
+            keep = np.append(True, ~alike)
+            x, others = x[keep], {c: v[keep] for c, v in others.items()}
+        buckets = _places(hashes.own(x)) if own else None
+        return pickle.dumps((x.astype(kind), others, buckets), protocol=5)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            while len(held) >= rows:
+                yield pd.DataFrame({"_rows": [one(held.iloc[:rows])]})
+                held = held.iloc[rows:]
+        if held is not None and len(held):
+            yield pd.DataFrame({"_rows": [one(held)]})
+
+    order = ["_at", F.xxhash64("_id")]
+    dealt = _add_columns(df, "_at long", first).repartitionByRange(parts, *order).sortWithinPartitions(*order, "_id")
+    packs = dealt.drop("_at").mapInPandas(pack, "_rows binary")
+    path = fresh_path(df.sparkSession, name)
+    packs.withColumn("_pack", F.monotonically_increasing_id()).write.parquet(path)
+    return path
+
+
+def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, in order, and the place of each entry's own among them."""
+    different, at = np.unique(codes, return_inverse=True)
+    return different, at.reshape(codes.shape).astype(np.min_scalar_type(len(different)))
+
+
+class _Asking:
+    """A pack of queries, the buckets that they look into, and the best rows they have met."""
+
+    def __init__(self, packed: bytes, hashes: _Hashes, k: int):
+        x, others, _ = pickle.loads(packed)
+        self.x, self.id, self.group, self.k = x.astype(np.float64), others["_id"], others["_group"], k
+        looks = np.concatenate(
+            [hashes.probed(self.x[at : at + _TILE_SPREAD]) for at in range(0, len(x), _TILE_SPREAD)]
+        )
+        self.buckets = _places(looks.reshape(len(x), -1))
+
+
+class _Best:
+    """The k best rows of each query among those it has met."""
+
+    def __init__(self, id: np.ndarray, k: int):
+        self.id, self.k, self.limit = id, k, np.full(len(id), np.inf)
+        self.rows, self.dist, self.others = np.zeros(0, dtype=np.int64), np.zeros(0), {}
+
+    def add(self, rows: np.ndarray, cols: np.ndarray, dist: np.ndarray, others: dict) -> None:
+        rows, dist = np.concatenate([self.rows, rows]), np.concatenate([self.dist, dist])
+        others = {
+            c: np.concatenate([self.others[c], v[cols]]) if self.others else v[cols]
+            for c, v in others.items() if c != "_group"
+        }
+        best = np.lexsort((others["_id"], dist, rows))
+        rows, dist, id = rows[best], dist[best], others["_id"][best]
+        # A repeated row may be in two packs.
+        once = np.append(True, (rows[1:] != rows[:-1]) | (dist[1:] != dist[:-1]) | (id[1:] != id[:-1]))[: len(rows)]
+        rows, dist, best = rows[once], dist[once], best[once]
+        place = _rank_in_row(rows)
+        last, kept = place == self.k - 1, place < self.k
+        self.limit[rows[last]] = dist[last]
+        self.rows, self.dist = rows[kept], dist[kept]
+        self.others = {c: v[best[kept]] for c, v in others.items()}
+
+    def frame(self) -> pd.DataFrame:
+        out = {"query_id": self.id[self.rows], "base_id": self.others["_id"], "_d": self.dist}
+        return pd.DataFrame({**out, **{c: v for c, v in self.others.items() if c != "_id"}})
+
+
+def _search_shared(
+    asking: _Asking, b: np.ndarray, b_id: np.ndarray, b_group: np.ndarray | None,
+    buckets: tuple[np.ndarray, np.ndarray], limit: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``_search``, of rows that share a bucket with the query.
+
+    A few queries at a time go through the rows that share a bucket with any of them. A product
+    in single precision, lowered by more than its rounding error, selects the pairs that can still
+    be among the best; of these, the ones that share a bucket are measured.
+    """
+    k, q, q_group, found = asking.k, asking.x, asking.group, []
+    (looks, asked), (codes, at) = asking.buckets, buckets
+    # The place among the buckets of the rows of each bucket that a query looks into.
+    place = np.minimum(np.searchsorted(codes, looks), len(codes) - 1)
+    place = np.where(codes[place] == looks, place, len(codes))
+    if place.min() == len(codes):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    center = b.mean(axis=0)
+    near_q, near_b = q - center, b - center
+    q_norm, b_norm = (near_q * near_q).sum(axis=1), (near_b * near_b).sum(axis=1)
+    single = max(q_norm.max(), b_norm.max()) < 1e30
+    kind, unit = (np.float32, 1.2e-7) if single else (np.float64, 1e-15)
+    error = unit * (q.shape[1] + 8)
+    near_q, near_b = near_q.astype(kind), (-2.0 * near_b).astype(kind)
+    low_b = (b_norm * (1 - error)).astype(kind)
+    for q0 in range(0, len(q), _TILE_QUERIES):
+        q1 = min(q0 + _TILE_QUERIES, len(q))
+        hit = np.zeros((q1 - q0, len(codes) + 1), dtype=bool)
+        hit[np.arange(q1 - q0)[:, None], place[asked[q0:q1]]] = True
+        hit = hit[:, :-1]
+        near = np.nonzero(hit.any(axis=0)[at].any(axis=1))[0]
+        bound = limit[q0:q1].copy()
+        rows = cols = np.zeros(0, dtype=np.int64)
+        dist = np.zeros(0)
+        for b0 in range(0, len(near), _TILE_BASE):
+            some = near[b0 : b0 + _TILE_BASE]
+            low = near_q[q0:q1] @ near_b[some].T
+            low += low_b[some]
+            bar = (bound + 1.0) / _SCALE - q_norm[q0:q1] * (1 - error)
+            free = np.nonzero(np.isinf(bound))[0]
+            if len(free) and len(some) > k:
+                meets = np.zeros((len(free), len(some)), dtype=bool)
+                for table in at[some].T:
+                    meets |= hit[free][:, table]
+                if b_group is not None:
+                    meets &= q_group[q0:q1][free][:, None] != b_group[None, some]
+                kth = np.partition(np.where(meets, low[free], np.inf), k - 1, axis=1)[:, k - 1]
+                bar[free] = kth + 2 * error * (q_norm[q0:q1][free] + b_norm[some].max()) + 1.0 / _SCALE
+            # Rounding a bar to single precision must not lower it.
+            pairs = np.flatnonzero(low <= np.nextafter(bar.astype(kind), kind(np.inf))[:, None])
+            r, c = pairs // len(some), some[pairs % len(some)]
+            meets = hit[r[:, None], at[c]].any(axis=1)
+            if b_group is not None:
+                meets &= q_group[q0 + r] != b_group[c]
+            r, c = r[meets], c[meets]
+            if not len(r):
+                continue
+            rows, cols = np.concatenate([rows, r]), np.concatenate([cols, c])
+            dist = np.concatenate([dist, _exact(q, q0 + r, b, c)])
+            best = np.lexsort((b_id[cols], dist, rows))
+            rows, cols, dist = rows[best], cols[best], dist[best]
+            rank = _rank_in_row(rows)
+            last = rank == k - 1
+            bound[rows[last]] = np.minimum(bound[rows[last]], dist[last])
+            rows, cols, dist = rows[rank < k], cols[rank < k], dist[rank < k]
+        found.append((rows + q0, cols, dist))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _packed_join(
+    q: DataFrame, b: DataFrame, hashes: _Hashes, k: int, grouped: bool, schema: T.StructType,
+    block_rows: int, query_rows: int, counts: tuple[int, int],
+) -> DataFrame:
+    """The k best rows, among those of shared buckets, of each query; nothing is copied by bucket.
+
+    Both sides are packed. Each task reads some packs of queries and streams the packs of rows past
+    them, so what is written grows with the rows, not with the buckets that a query looks into.
+    """
+    spark = q.sparkSession
+    element = b.schema["_vec"].dataType.elementType
+    row_bytes = len(hashes.axes) * (4 if isinstance(element, T.FloatType) else 8)
+    cores, (asking, n) = spark.sparkContext.defaultParallelism, counts
+    fit = max(256, _PACK_BYTES // row_bytes)
+
+    def packed(df: DataFrame, rows: int, count: int, name: str, own: bool) -> str:
+        parts = max(-(-count * row_bytes // _PACKED_BYTES), min(cores, -(-count // rows)), 1)
+        return _packed(df, hashes, rows, parts, name, own)
+
+    b_path = packed(b, min(block_rows, fit), n, "lsh-rows", own=True)
+    # Enough packs of queries for all cores.
+    some = min(query_rows, fit, max(1024, -(-asking // (4 * cores))))
+    q_path = packed(q.filter(F.col("_id").isNotNull()), some, asking, "lsh-queries", own=False)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, now, asks = {}, None, None
+        for batch in batches:
+            for number, ask, rows in zip(batch["_pack"], batch["_ask"], batch["_rows"]):
+                if number != now:
+                    now, asks = number, _Asking(ask, hashes, k)
+                if number not in best:
+                    best[number] = _Best(asks.id, k)
+                held = best[number]
+                x, others, buckets = pickle.loads(rows)
+                pairs = _search_shared(
+                    asks, x.astype(np.float64), others["_id"], others["_group"] if grouped else None,
+                    buckets, held.limit,
+                )
+                if len(pairs[0]):
+                    held.add(*pairs, others)
+        for held in best.values():
+            if len(held.rows):
+                yield held.frame()[schema.names]
+
+    # A session of its own, as its rows are large: few may be in a batch, or held by a task.
+    large = spark.newSession()
+    large.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _ARROW_PACKS)
+    large.conf.set("spark.sql.files.maxPartitionBytes", _HELD_BYTES)
+    large.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    asks = large.read.parquet(q_path).select("_pack", F.col("_rows").alias("_ask"))
+    pairs = asks.hint("shuffle_replicate_nl").crossJoin(large.read.parquet(b_path).select("_rows"))
+    # Those of one part of the queries with all parts of the rows follow each other, mostly in one task.
+    tasks = max(asks.rdd.getNumPartitions(), 4 * cores)
+    path = fresh_path(spark, "lsh-found")
+    pairs.coalesce(tasks).mapInPandas(search, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path).repartition("query_id")
+
+
 def approx_knn_join(
     query: DataFrame,
     base: DataFrame,
@@ -685,8 +946,10 @@ def approx_knn_join(
     on at most ``FIT_ROWS`` rows by hash so that the share ``cover`` of their neighbours is
     found; every base row is indexed. Distances are exact; a query may get fewer than k rows.
 
-    Rows meet by bucket. A bucket with more than ``block_rows`` rows is cut into parts by
-    hash, each a task's work; no task returns more than k rows for a query.
+    Where few rows travel (``MEET_NUMBERS``), they meet by bucket. A bucket with more than
+    ``block_rows`` rows is cut into parts by hash, each a task's work; no task returns more than
+    k rows for a query. Else rows are packed once, at most ``block_rows`` and ``query_rows``
+    together, and pairs that share a bucket are measured where two packs meet.
     """
     spark = base.sparkSession
     group = F.col(exclude) if exclude else F.lit(None).cast("int")
@@ -709,32 +972,10 @@ def approx_knn_join(
     hashes = _Hashes(sample.shape[1], tables, per_table, probes, seed)
     hashes.fit(sample, k, cover)
 
-    def spread(df: DataFrame, numbers, kept: list[str]) -> DataFrame:
-        """A row for each bucket of a row; those of a few rows are held at a time."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for at in range(0, len(batch), _TILE_SPREAD):
-                    some = batch.iloc[at : at + _TILE_SPREAD]
-                    found = numbers(_matrix(some["_vec"])).reshape(len(some), -1)
-                    rows = np.repeat(np.arange(len(some)), found.shape[1])
-                    yield some[kept].iloc[rows].assign(_bucket=found.ravel())
-
-        shape = [*df.select(*kept).schema.fields, T.StructField("_bucket", T.LongType())]
-        return df.mapInPandas(run, T.StructType(shape))
-
-    held = stage(spread(b, hashes.own, b.columns), "lsh-buckets")
-    parts = held.groupBy("_bucket").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_parts"))
-    parts = stage(parts, "lsh-parts")
-    block = F.xxhash64("_bucket", "_part").alias("_block")
-    held = held.join(parts, "_bucket").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
-    # Vectors follow only to buckets that have rows.
-    asked = (
-        spread(q, hashes.probed, ["_id"]).join(parts, "_bucket")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("_id", block).join(q, "_id").withColumn("_d", F.lit(None).cast("double"))
-    )
-    found = _visit(asked, held.select(*b.columns, block), k, exclude is not None, schema, query_rows)
+    n, asking = b.count(), q.count()
+    copies = tables * (n + asking * probes * -(-n // block_rows))
+    join = _bucket_join if copies * sample.shape[1] <= MEET_NUMBERS else _packed_join
+    found = join(q, b, hashes, k, exclude is not None, schema, block_rows, query_rows, (asking, n))
     # A row found in several tables is one; its distance is the same in each.
     order = Window.partitionBy("query_id").orderBy("_d", "base_id")
     once = found.dropDuplicates(["query_id", "base_id"])
