@@ -829,8 +829,11 @@ def _search_shared(
         bound = limit[q0:q1].copy()
         rows = cols = np.zeros(0, dtype=np.int64)
         dist = np.zeros(0)
-        for b0 in range(0, len(near), _TILE_BASE):
-            some = near[b0 : b0 + _TILE_BASE]
+        b0 = 0
+        while b0 < len(near):
+            # Few rows give the first bounds, as these need a look at each pair.
+            some = near[b0 : b0 + (LEAF_ROWS if np.isinf(bound).any() else _TILE_BASE)]
+            b0 += len(some)
             low = near_q[q0:q1] @ near_b[some].T
             low += low_b[some]
             bar = (bound + 1.0) / _SCALE - q_norm[q0:q1] * (1 - error)
